@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm import bpe, fingerprints, languages, mixing, neardup, pii
+from viaduct.llm import bpe, fingerprints, languages, mixing, neardup, pii, repeats, vectors
 from viaduct.llm.shared import documents, remainder
 
 #: For production a secret; here a fixed one, so that reruns agree.
@@ -45,7 +45,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_pseudonyms, op2_language_id, op3_source_mixing, op4_weighted_fingerprints, op6_near_duplicates, op7_byte_bpe)
+    f.__name__: f for f in (op1_pii_pseudonyms, op2_language_id, op3_source_mixing, op4_weighted_fingerprints, op6_near_duplicates, op7_byte_bpe, op9_repeated_strings, op10_near_vectors)
 }
 ORACLE_SQL: dict[str, str] = {}
