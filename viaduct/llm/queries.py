@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm import bpe, fingerprints, languages, mixing, neardup, pii, repeats, vectors
+from viaduct.llm import bpe, fingerprints, katz, languages, mixing, neardup, pii, repeats, vectors
 from viaduct.llm.shared import documents, remainder
 
 #: For production a secret; here a fixed one, so that reruns agree.
@@ -45,6 +45,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
 
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) != 2)
+
+
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
@@ -54,6 +58,6 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_pseudonyms, op2_language_id, op3_source_mixing, op4_weighted_fingerprints, op6_near_duplicates, op7_byte_bpe, op9_repeated_strings, op10_near_vectors)
+    f.__name__: f for f in (op1_pii_pseudonyms, op2_language_id, op3_source_mixing, op4_weighted_fingerprints, op6_near_duplicates, op7_byte_bpe, op8_katz_scores, op9_repeated_strings, op10_near_vectors)
 }
 ORACLE_SQL: dict[str, str] = {}
