@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm import bpe, fingerprints, katz, languages, mixing, neardup, pii, repeats, vectors
+from viaduct.llm import bpe, fingerprints, katz, languages, mixing, neardup, pii, repeats, toxicity, vectors
 from viaduct.llm.shared import documents, remainder
 
 #: For production a secret; here a fixed one, so that reruns agree.
@@ -32,6 +32,12 @@ def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score_documents(documents(spark, sf_dir), labels, lambda key: remainder(key, 4) != 2)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -58,6 +64,6 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_pseudonyms, op2_language_id, op3_source_mixing, op4_weighted_fingerprints, op6_near_duplicates, op7_byte_bpe, op8_katz_scores, op9_repeated_strings, op10_near_vectors)
+    f.__name__: f for f in (op1_pii_pseudonyms, op2_language_id, op3_source_mixing, op4_weighted_fingerprints, op5_toxicity, op6_near_duplicates, op7_byte_bpe, op8_katz_scores, op9_repeated_strings, op10_near_vectors)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -66,11 +66,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of all rows, in order, and the number of words of each row."""
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of bytes that are inside words begin and end; runs end with their row."""
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     row_starts = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -78,7 +75,14 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     last = inside.copy()
     last[:-1] &= ~inside[1:]
     last[row_starts[1:] - 1] = inside[row_starts[1:] - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of all rows, in order, and the number of words of each row."""
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    start, end = word_spans(data, offsets, ~_SPACE[data])
     hashes = slice_hashes(prefix_hashes(_LOWER[data] if lower else data), start, end)
     return hashes, np.diff(np.searchsorted(start, offsets))
 
