@@ -7,9 +7,11 @@ arrival, so two signatures agree in a component with the weighted Jaccard simila
 to a horizon that fills all components, so a long document costs little more than one draw for each shingle.
 
 Banded signatures propose, and the exact multiset Jaccard similarity of the shingles decides. Exact copies (equal
-texts) are one node. Every bucket is searched in linear work first: its members are compared with a few of its own
-members, chosen by hash; then only pairs that lie in one bucket but are not yet connected are compared, so that no
-link of two buckets' mates is lost and a bucket of thousands of copies never emits all its pairs.
+texts) are one node. Every bucket is searched in linear work first: its members are compared with one of them, in half
+of the bands the one with most mates over all bands (the common origin of a group of copies has most), in the others
+one chosen by hash. Then only members of one bucket that are not yet connected are compared, so that no link of two
+mates is lost: in buckets of up to SMALL members as pairs, in larger ones tile by tile, where a task multiplies the
+incidence matrices of two tiles' shingles and returns a link for each document and component, not all pairs.
 
 Documents without words link with nothing but equal texts.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +33,10 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
 COMPONENTS = BANDS * ROWS
-#: Members that a bucket's others are compared with first: one for each of so many hash orders, shared by the bands.
-PIVOTS = 4
+SMALL = 32
+TILE = 256
+#: Shingles that a tile comparison takes at a time.
+STRIP = 4096
 
 
 def bag_minhash(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_rows: int, m: int = COMPONENTS) -> np.ndarray:
@@ -138,37 +143,84 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sketches = table(sketch(docs, key, text))
     copies = table(sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("keys").alias("keys")))
     members = copies.where("n > 0").select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "bucket"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("id", F.lit(p)).alias("h"), "id", "n")).alias(f"p{p}") for p in range(PIVOTS)]).where("size > 1")
-    # each band looks to one of the hash orders
-    pivot = F.element_at(F.array(*[F.col(f"p{p}") for p in range(PIVOTS)]), F.col("band") % PIVOTS + 1)
-    crowded = table(crowded)
-    shared = table(members.join(crowded, "bucket").select("bucket", "id", "n", pivot.alias("p")))
+    crowded = table(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    inside = table(members.join(crowded, "bucket"))
+    mates = inside.groupBy("id").agg(F.sum("size").alias("mates"))
+    ranked = inside.join(mates, "id").withColumn("rank", F.when(F.col("band") % 2 == 0, F.col("mates")).otherwise(F.xxhash64("id", F.col("band") % 4)))
+    pivots = table(ranked.groupBy("bucket").agg(F.max(F.struct("rank", "id", "n")).alias("p")))
+    shared = table(inside.join(pivots, "bucket").select("bucket", "size", "id", "n", "p"))
     close = lambda n, m: F.least(n, m) >= F.greatest(n, m) * similarity  # noqa: E731  a bound on any Jaccard similarity
     first = shared.where((F.col("id") != F.col("p.id")) & close(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
     first = table(first)
-    mates = shared.select("id").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(mates, "id", "left_semi")
+    crowd = shared.select("id").distinct()
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(crowd, "id", "left_semi")
     links = table(verified(first, texts, similarity))
-    rest = _unconnected(shared, components(links), close)
-    more = table(rest)
-    if not more.isEmpty():
-        links = links.union(table(verified(more.join(first, ["a", "b"], "left_anti"), texts, similarity)))
+    open_, pairs = _unconnected(shared, components(links), close)
+    links = links.union(verified(table(pairs.join(first, ["a", "b"], "left_anti")), texts, similarity))
+    links = table(links.union(_tiled(open_, texts, similarity)))
     same = components(links).select(F.col("node").alias("rep"), "component")
     classes = copies.select("digest", "rep").join(same, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     out = sketches.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "digest").join(classes, "digest").drop("digest")
     return out.select(key, "n_shingles", "class_id", (F.col(key) == F.col("class_id")).alias("kept"))
 
 
-def _unconnected(shared: DataFrame, found: DataFrame, close) -> DataFrame:
-    """Pairs in one bucket and in different components, sizes permitting.
-
-    A bucket in which all members are connected yields nothing; otherwise members outside the bucket's largest
-    component meet all others, so the work follows what is left unconnected, not the square of the bucket.
-    """
-    named = shared.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    groups = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    most = groups.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component"))["component"].alias("largest")).where("parts > 1")
-    open_ = table(named.join(table(most), "bucket"))
-    outside = open_.where("component <> largest").select("bucket", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    met = outside.join(open_.select("bucket", "id", "n", "component"), "bucket").where((F.col("component") != F.col("xc")) & close(F.col("n"), F.col("xn")))
-    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+def _unconnected(shared: DataFrame, found: DataFrame, close) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets that hold several components, with whether theirs is the bucket's largest; and, of
+    buckets of up to SMALL members, the pairs of different components whose sizes permit a link."""
+    named = shared.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "size", "id", "n", F.coalesce("component", "id").alias("component"))
+    groups = named.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    most = groups.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("most")).where("parts > 1")
+    most = table(most.select("bucket", F.col("most.c").alias("largest_size"), F.col("most.component").alias("largest")))
+    open_ = table(named.join(most, "bucket"))
+    few = open_.where(F.col("size") <= SMALL)
+    outside = few.where("component <> largest").select("bucket", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
+    met = outside.join(few.select("bucket", "id", "n", "component"), "bucket").where((F.col("component") != F.col("xc")) & close(F.col("n"), F.col("xn")))
+    return open_.where(F.col("size") > SMALL), met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+
+
+def _tiled(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components in large buckets: members outside the bucket's largest component meet all."""
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    tile = lambda n: F.pmod(F.xxhash64("id"), tiles(n)).cast("int")
+    rest = F.col("size") - F.col("largest_size")
+    every = lambda n: F.explode(F.sequence(F.lit(0), tiles(n) - 1))
+    base = open_.select("bucket", "size", rest.alias("rest"), "id", "component", (F.col("component") != F.col("largest")).alias("out"))
+    left = base.where("out").select("bucket", tile(F.col("rest")).alias("s"), every(F.col("size")).alias("t"), F.lit(True).alias("first"), "id", "component")
+    right = base.select("bucket", every(F.col("rest")).alias("s"), tile(F.col("size")).alias("t"), F.lit(False).alias("first"), "id", "component")
+    rows = table(left.union(right)).join(texts, "id").select("bucket", "s", "t", "first", "id", "component", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        sides = []
+        for flag in (True, False):
+            part = group.filter(pa.compute.equal(group.column("first"), flag))
+            r, h, c = multiset(*_shingled(part.column("text")), len(part))
+            # the k-th time of a shingle is an element of its own, so common elements count as the multisets' overlap
+            again = np.repeat(np.arange(len(c)), c)
+            time = np.arange(len(again)) - np.repeat(np.cumsum(c) - c, c)
+            h = mix(h[again] + time.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            sides.append((r[again], h, np.bincount(r, weights=c, minlength=len(part)), np.array(part.column("id").to_pylist()), np.array(part.column("component").to_pylist())))
+        (ra, ha, na, ia, ca), (rb, hb, nb, ib, cb) = sides
+        common = np.intersect1d(ha, hb)
+        overlap = np.zeros((len(ia), len(ib)), dtype=np.float32)
+        for at in range(0, len(common), STRIP):
+            strip = common[at : at + STRIP]
+            faces = []
+            for r, h, n in ((ra, ha, len(ia)), (rb, hb, len(ib))):
+                k = np.minimum(np.searchsorted(strip, h), len(strip) - 1)
+                hit = strip[k] == h
+                face = np.zeros((n, len(strip)), dtype=np.float32)
+                face[r[hit], k[hit]] = 1
+                faces.append(face)
+            overlap += faces[0] @ faces[1].T
+        either = na[:, None] + nb[None, :] - overlap
+        i, j = np.nonzero((overlap / np.maximum(either, 1) >= similarity) & (ca[:, None] != cb[None, :]))
+        _, once = np.unique(np.stack([ia[i], cb[j]]), axis=1, return_index=True) if len(i) else (None, np.empty(0, np.int64))
+        return pa.table({"a": pa.array(ia[i[once]], pa.int64()), "b": pa.array(ib[j[once]], pa.int64())})
+
+    return rows.groupBy("bucket", "s", "t").applyInArrow(compare, "a long, b long")
+
+
+def _shingled(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    for _, _, data, offsets in chunks(column, 1 << 62):
+        return shingles(*words(data, offsets), SHINGLE)
+    return np.empty(0, np.int64), np.empty(0, np.uint64)
