@@ -19,3 +19,11 @@ def first_reason(rules: dict[str, Column]) -> Column:
 def judge(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rows with reasons (array<string>) and keep (no reason)."""
     return rows.withColumn("reasons", reasons(rules)).withColumn("keep", F.size("reasons") == 0)
+
+
+def passes(expressions: list[str]) -> Column:
+    """Whether all expressions hold; one whose value is missing (null or NaN) passes."""
+    out = F.lit(True)
+    for e in expressions:
+        out = out & F.coalesce(F.expr(e), F.lit(True))
+    return out

@@ -11,9 +11,9 @@ from viaduct.sources.tables import load
 
 
 @query("""
-SELECT d.doc_id, list_filter([
+SELECT d.doc_id, [x FOR x IN [
     CASE WHEN d.n_chars < 200 THEN 'short' END, CASE WHEN d.n_chars > 20000 THEN 'long' END,
-    CASE WHEN l.quality = 0 THEN 'quality' END, CASE WHEN l.toxic = 1 THEN 'toxic' END], x -> x IS NOT NULL) AS reasons,
+    CASE WHEN l.quality = 0 THEN 'quality' END, CASE WHEN l.toxic = 1 THEN 'toxic' END] IF x IS NOT NULL] AS reasons,
   NOT (d.n_chars < 200 OR d.n_chars > 20000 OR coalesce(l.quality = 0, false) OR coalesce(l.toxic = 1, false)) AS keep
 FROM documents d LEFT JOIN labels l USING (doc_id)
 """)
