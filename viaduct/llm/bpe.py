@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens, and characters of them, that a task remembers; checked between batches.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 REMEMBERED_CHARS = 16_000_000
+#: Texts that are encoded together.
+TOGETHER = 4_000
 
 
 class Ranks:
@@ -312,8 +314,10 @@ def _each(docs: DataFrame, made: Coder, key: str, text: str, schema: str, work,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for batch in batches:
+        for batch in (whole.slice(lo, TOGETHER) for whole in batches for lo in range(0, max(1, whole.num_rows), TOGETHER)):
             rows = [work(c, ids) for ids in c.encode([t or "" for t in batch.column(1).to_pylist()])]
+            if not rows:
+                continue
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(r), t) for r, t in zip(zip(*rows, strict=True), types.values(), strict=True)]], names=[key, *types])
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(run, schema)

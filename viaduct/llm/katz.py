@@ -148,7 +148,13 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     bits = min(16, max(1, int(np.ceil(np.log2(max(2, size / BYTES_PER_SHARD))))))
     width = min(64, bits + 48)
 
-    def ask(batches):
+    def opened(mine: dict) -> tuple[Block, np.ndarray]:
+        n = len(mine["x"]) * 8 // 65  # 8 bytes and a bit for each document
+        skip = (n + 7) // 8
+        flags = np.unpackbits(np.frombuffer(mine["y"][:skip], np.uint8), count=n).astype(bool)
+        return Block(unsteps(mine["z"]), unpack(mine["w"], np.int32), unpack(mine["y"][skip:], np.int32), bits), flags
+
+    def gather(batches):
         part, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, flags = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -156,20 +162,29 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 hashes, counts = words(data, offsets)
                 tokens = np.insert(hashes, np.cumsum(counts), END)
                 vocabulary, numbers = np.unique(tokens, return_inverse=True)
-                b = Block(vocabulary, numbers.astype(np.int32), counts + 1, bits)
-                learn = flags[lo:hi][b.row]
                 name = part << 32 | made
                 made += 1
                 known = np.array([x if x is not None else -(2**63) for x in ids.slice(lo, hi - lo).to_pylist()], dtype=np.int64)
                 absent = np.packbits(np.array(ids.slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False), dtype=bool)).tobytes()
-                out = [(_BLOCK, name, -1, pack(known) + absent, np.packbits(flags[lo:hi]).tobytes() + pack(b.lengths.astype(np.int32)), steps(vocabulary), pack(b.numbers))]
-                for kind, keys, at, w in ((_WORDS, vocabulary, b.numbers, 64), (_PAIRS, b.pairs, b.pair, width)):
+                lengths = np.packbits(flags[lo:hi]).tobytes() + pack((counts + 1).astype(np.int32))
+                yield _rows([(_BLOCK, name, -1, pack(known) + absent, lengths, steps(vocabulary), pack(numbers.astype(np.int32)))])
+
+    blocks = table(rows.mapInArrow(gather, SCHEMA))
+
+    def ask(batches):
+        """Each block's distinct n-grams by shard, with its own training counts; for words, also those of the other texts."""
+        for batch in batches:
+            for mine in batch.to_pylist():
+                b, flags = opened(mine)
+                learn, out = flags[b.row], []
+                for kind, keys, at, w in ((_WORDS, b.vocabulary, b.numbers, 64), (_PAIRS, b.pairs, b.pair, width)):
                     n = np.bincount(at[learn], minlength=len(keys)).astype(np.uint32)
-                    out += [(kind, name, s, steps(keys[i:j]), pack(n[i:j]), None, None) for s, i, j in _split(keys, w, bits)]
+                    other = np.bincount(at[~learn], minlength=len(keys)) > 0
+                    for s, i, j in _split(keys, w, bits):
+                        bit = np.packbits(other[i:j]).tobytes() if kind == _WORDS else None
+                        out.append((kind, mine["block"], s, steps(keys[i:j]), pack(n[i:j]), bit, None))
                 yield _rows(out)
 
-    asked = table(rows.mapInArrow(ask, SCHEMA))
-
     def add_up(group: pa.Table) -> pa.Table:
         kind = group.column("kind")[0].as_py()
         blocks = np.array(group.column("block").to_pylist())
@@ -184,16 +199,22 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         np.minimum.at(owner, inverse[seen], seen)
         own = np.zeros(len(counts) + 1, dtype=bool)
         own[owner] = True
+        if kind == _WORDS:  # a context can be asked for only if some text that isn't learnt from has it
+            sizes = np.diff(np.append(0, ends)).tolist()
+            bits_ = np.concatenate([np.unpackbits(np.frombuffer(group.column("z")[int(i)].as_py(), np.uint8), count=k) for i, k in zip(order, sizes, strict=True)])
+            flag = (np.bincount(inverse, weights=bits_) > 0)[inverse]
+        else:
+            flag = own[:-1]
         answer, shard, out, lo = total[inverse].astype(np.uint32), group.column("shard")[0].as_py(), [], 0
         for i, hi in zip(order, ends, strict=True):
-            out.append((kind, int(blocks[i]), shard, pack(answer[lo:hi]), np.packbits(own[lo:hi]).tobytes() if kind == _PAIRS else None, None, None))
+            out.append((kind, int(blocks[i]), shard, pack(answer[lo:hi]), np.packbits(flag[lo:hi]).tobytes(), None, None))
             lo = int(hi)
         histogram = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
         stats = np.concatenate([[total.sum(), (total > 0).sum()], histogram[1 : K + 2]]).astype(np.int64)
         out.append((_STATS, -1, kind, stats.tobytes(), None, None, None))
         return pa.Table.from_batches([_rows(out)])
 
-    answers = table(asked.where(F.col("kind") != _BLOCK).groupBy("kind", "shard").applyInArrow(add_up, SCHEMA))
+    answers = table(blocks.mapInArrow(ask, SCHEMA).groupBy("kind", "shard").applyInArrow(add_up, SCHEMA))
     told = answers.where(F.col("kind") == _STATS).select("shard", "x").toPandas()  # a few longs from each shard
     sums = {k: sum((np.frombuffer(x, np.int64) for x in told.x[told.shard == k]), np.zeros(K + 3, np.int64)) for k in (_WORDS, _PAIRS)}
     known = Discounts.of(sums[_WORDS], sums[_PAIRS], int(texts))
@@ -202,14 +223,13 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         """A block with its answers: the scores but for backoff weights, sums for these, and which it needs."""
         lines = group.to_pylist()
         mine = next(r for r in lines if r["kind"] == _BLOCK)
-        vocabulary = unsteps(mine["z"])
-        n = len(mine["x"]) * 8 // 65  # 8 bytes and a bit for each document
-        skip = (n + 7) // 8
-        b = Block(vocabulary, unpack(mine["w"], np.int32), unpack(mine["y"][skip:], np.int32), bits)
+        b, _ = opened(mine)
+        vocabulary, skip = b.vocabulary, (len(b.lengths) + 7) // 8
         got = {k: sorted((r for r in lines if r["kind"] == k), key=lambda r: r["shard"]) for k in (_WORDS, _PAIRS)}
         count = np.concatenate([unpack(r["x"], np.uint32) for r in got[_WORDS]]).astype(np.int64)
         pair_count = np.concatenate([unpack(r["x"], np.uint32) for r in got[_PAIRS]]).astype(np.int64)
-        own = np.concatenate([np.unpackbits(np.frombuffer(r["y"], np.uint8), count=len(r["x"]) // 4) for r in got[_PAIRS]]).astype(bool)
+        bit = {k: np.concatenate([np.unpackbits(np.frombuffer(r["y"], np.uint8), count=len(r["x"]) // 4) for r in got[k]]).astype(bool) for k in got}
+        own = bit[_PAIRS]
         # after the end token nothing follows, and its place stands for the begin context here
         context = np.append(count, known.texts)
         p = known.word(count)
@@ -235,7 +255,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 out.append((kind, mine["block"], s, steps(names[which[i:j]]), *[pack(c[which[i:j]]) for c in columns], *[None] * (3 - len(columns))))
             return which
 
-        by_shard(_SUMS, np.flatnonzero(s2 > 0), s1, s2, context.astype(np.int64))
+        by_shard(_SUMS, np.flatnonzero((s2 > 0) & np.append(bit[_WORDS], True)), s1 / np.maximum(context, 1), s2)
         open_ = ~seen[b.pair] & (context[b.before] > 0)
         l2 = left[b.pair[open_]]
         needed = by_shard(_WANTED, np.unique(l2))
@@ -246,19 +266,17 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         out.append((_SCORED, mine["block"], -1, mine["x"], mine["y"][:skip], fixed, pack(cells) + pack(times.astype(np.int32))))
         return pa.Table.from_batches([_rows(out)])
 
-    weighed = table(asked.where(F.col("kind") == _BLOCK).union(answers.where(F.col("kind").isin(_WORDS, _PAIRS))).groupBy("block").applyInArrow(weigh, SCHEMA))
+    weighed = table(blocks.union(answers.where(F.col("kind").isin(_WORDS, _PAIRS))).groupBy("block").applyInArrow(weigh, SCHEMA))
 
     def back_off(group: pa.Table) -> pa.Table:
         """A shard of contexts: their sums over all blocks, and the backoff weights that blocks want."""
         lines = sorted(group.to_pylist(), key=lambda r: r["block"])
-        sums = [(unsteps(r["x"]), unpack(r["y"], np.float64), unpack(r["z"], np.float64), unpack(r["w"], np.int64)) for r in lines if r["kind"] == _SUMS]
+        sums = [(unsteps(r["x"]), unpack(r["y"], np.float64), unpack(r["z"], np.float64)) for r in lines if r["kind"] == _SUMS]
         if not sums:
             return pa.Table.from_batches([_rows([])])
         names, inverse = np.unique(np.concatenate([s[0] for s in sums]), return_inverse=True)
         s1, s2 = (np.bincount(inverse, weights=np.concatenate([s[i] for s in sums])) for i in (1, 2))
-        c = np.zeros(len(names))
-        c[inverse] = np.concatenate([s[3] for s in sums])
-        weight = np.log10((1 - s1 / c) / (1 - s2))
+        weight = np.log10((1 - s1) / (1 - s2))
         out = [(_WANTED, r["block"], r["shard"], pack(weight[np.searchsorted(names, unsteps(r["x"]))]), None, None, None) for r in lines if r["kind"] == _WANTED]
         return pa.Table.from_batches([_rows(out)])
 

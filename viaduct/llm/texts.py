@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_MASK = (1 << 64) - 1
+#: Bytes that are hashed at a time.
+PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -82,6 +83,12 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     """Hashes of the words [^\\x20\\x09-\\x0D]+ of all rows, in order, and the number of words of each row."""
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    if len(data) > 2 * PIECE and len(offsets) > 2:  # rows in pieces, to keep the arrays small
+        cuts = np.unique(np.searchsorted(offsets, np.arange(0, len(data), PIECE)))
+        cuts = np.unique(np.append(cuts[cuts < len(offsets) - 1], [0, len(offsets) - 1]))
+        parts = [words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)] if len(cuts) > 2 else []
+        if parts:
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     start, end = word_spans(data, offsets, ~_SPACE[data])
     hashes = slice_hashes(prefix_hashes(_LOWER[data] if lower else data), start, end)
     return hashes, np.diff(np.searchsorted(start, offsets))
