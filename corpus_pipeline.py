@@ -9,16 +9,18 @@ from viaduct.llm import bpe, languages, mixing, neardup, pii, queries
 from viaduct.llm.shared import remainder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document is rejected when no language knows so large a share of its n-grams.
+#: A document of at least so many characters is rejected when no language knows so large a share of its n-grams.
+JUDGED_FROM = 40
 KNOWN_AT_LEAST = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose n-grams hardly any language knows, go."""
+    """Documents without a letter go, and longer ones whose n-grams no language knows."""
     train = remainder(F.col("doc_id"), 4) != 2
     filters = languages.learn(docs.where(train), "text", "lang")
     found = languages.predict(docs, filters, COLUMNS, "text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("known") >= KNOWN_AT_LEAST)).select(*COLUMNS)
+    known = (F.length("text") < JUDGED_FROM) | (F.col("known") >= KNOWN_AT_LEAST)
+    return found.where((F.col("lang_pred") != "und") & known).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

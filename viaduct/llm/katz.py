@@ -70,8 +70,10 @@ def pair_names(before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
 
 def _split(keys: np.ndarray, width: int, bits: int) -> list[tuple[int, int, int]]:
     """(shard, from, to) of sorted keys of width bits whose first bits are their shard."""
+    if not len(keys):
+        return []
     shards = (keys >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    at = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(keys) else np.empty(0, int)
+    at = np.flatnonzero(np.append(True, shards[1:] != shards[:-1]))
     ends = np.append(at[1:], len(keys))
     return list(zip(shards[at].tolist(), at.tolist(), ends.tolist(), strict=True))
 

@@ -3,8 +3,8 @@
 Each language has a Bloom filter over hashed byte n-grams of its lower-cased words; the filters of up to 64 languages
 are bit-sliced into one table of bitmasks, so ANDing an n-gram's HASHES slots returns all languages that contain it.
 A text's n-grams are counted for each language by those bits, the counts are corrected for each filter's false
-positives, and the language with most wins. Filters hold the n-grams that are more usual in their language than in
-the others, learned from a bounded, hash-chosen sample of the labelled texts (SAMPLE_PER_LANGUAGE).
+positives, and the language with most wins. Filters hold the n-grams that are not much rarer in their language than in
+another, learned from a bounded, hash-chosen sample of the labelled texts (SAMPLE_PER_LANGUAGE).
 
 Null texts, and those without a letter, are `und` with score 0. Texts whose n-grams are all unknown take the first
 learned language by code point, with score 0.
@@ -27,7 +27,7 @@ HASHES = 3
 SLOTS = 1 << 20
 SAMPLE_PER_LANGUAGE = 1_500
 GRAMS_PER_LANGUAGE = 60_000
-#: An n-gram enters a language's filter if its share there is at least so many times that in all languages together.
+#: An n-gram enters a language's filter if its share there is at least so many times its largest share in any.
 LIFT = 0.5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -103,7 +103,7 @@ def learn(docs: DataFrame, text: str, lang: str) -> Filters:
     totals = {r[0]: r[1] for r in each.groupBy("lang").agg(F.sum("n")).collect()}
     rate = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, float(v))]), F.col("lang"))
     pooled = each.groupBy("gram").agg(F.sum("n").alias("all_n"), F.collect_list(F.struct("lang", "n", rate.alias("rate"))).alias("by"))
-    chosen = pooled.where("all_n >= 3").select("gram", F.inline("by"), (F.aggregate("by", F.lit(0.0), lambda s, x: s + x["rate"])).alias("rates")).where((F.col("n") >= 2) & (F.col("rate") >= LIFT * F.col("rates")))
+    chosen = pooled.where("all_n >= 3").select("gram", F.inline("by"), (F.array_max(F.transform("by", lambda x: x["rate"]))).alias("most")).where((F.col("n") >= 2) & (F.col("rate") >= LIFT * F.col("most")))
     # the most usual ones of all languages together: a bounded number reaches the driver
     rows = chosen.select("lang", "gram", "n").orderBy(F.desc("n"), "lang", "gram").limit(GRAMS_PER_LANGUAGE * len(sizes)).toPandas()
     return build({k: ((g := rows[rows.lang == k]).gram.to_numpy().view(np.uint64), g.n.to_numpy()) for k in sizes})
