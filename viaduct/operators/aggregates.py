@@ -18,8 +18,7 @@ def group_table(rows: DataFrame, key: list[str], value: str, min_n: int = 1) ->
 def pearson(rows: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     """r over complete pairs: null below three, 0 where a side does not vary."""
     pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    spread = lambda c: F.max(c) - F.min(c)
-    r = F.when(F.count("*") < 3, None).when((spread(x) == 0) | (spread(y) == 0), 0.0).otherwise(F.corr(x, y))
+    r = F.when(F.count("*") >= 3, F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0)))
     return pairs.groupBy(*key).agg(F.count("*").alias("n"), r.alias("r"))
 
 

@@ -36,7 +36,7 @@ def thirds(rows: DataFrame, entry: str, order: list[str], value: str) -> DataFra
 def slope(rows: DataFrame, entry: str, order: list[str], value: str) -> DataFrame:
     """Least-squares slope over time scaled to 0 .. 1."""
     w = Window.partitionBy(entry).orderBy(*order)
-    t = (F.row_number().over(w) - 1) / (F.count("*").over(Window.partitionBy(entry)) - 1)
+    t = F.try_divide(F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(entry)) - 1)
     return rows.withColumn("t", t).groupBy(entry).agg(F.count("*").alias("n"), F.regr_slope(value, "t").alias("slope")).where("n > 1")
 
 
