@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from viaduct.plans import aggregates, corpus, grouped, joins, picks, series, texts  # noqa: F401  they register their queries
+    from viaduct.plans import aggregates, audits, corpus, grouped, joins, picks, series, texts  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
