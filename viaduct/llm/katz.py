@@ -11,7 +11,7 @@ The tables never leave their shards. Documents are gathered in blocks of some me
 hashed n-grams once for each of its distinct n-grams, with its own training counts. A shard adds up the counts of all
 blocks, and answers them (so a word in every document is one request of a block, not one of each document). With the
 answers a block finds probabilities, and asks in the same way for the backoff weights that it needs. n-grams are named
-by 64-bit (words) and 48-bit (pairs, within their shard) hashes.
+by 64-bit (words) and 44-bit (pairs, within their shard) hashes.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ DELTA = 0.05
 BLOCK_BYTES = 6_000_000
 #: Shards are a power of two, so many that each serves about so many bytes of text.
 BYTES_PER_SHARD = 24_000_000
+#: Bits of a pair's name within its shard; shards grow in number, not in size, so accidental equals stay as rare.
+NAME_BITS = 44
 END = np.uint64(0x9D39247E33776D41)
 BEGIN = np.uint64(0x2AF7398005AAA5C7)
 SCHEMA = "kind int, block long, shard int, x binary, y binary, z binary, w binary"
@@ -48,12 +51,21 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """pack(a), entropy-coded: what blocks and shards send each other is most of the operator's shuffle."""
+    return zstandard.ZstdCompressor(level=1).compress(pack(a))
+
+
+def unsqueeze(b: bytes, kind) -> np.ndarray:
+    return unpack(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
 def steps(sorted_keys: np.ndarray) -> bytes:
-    return pack(np.diff(sorted_keys, prepend=np.uint64(0)))
+    return squeeze(np.diff(sorted_keys, prepend=np.uint64(0)))
 
 
 def unsteps(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+    return np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -63,9 +75,9 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pair_names(before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    """Hashes of bits + 48 bits: the shard, then the name within it."""
+    """Hashes of bits + NAME_BITS bits: the shard, then the name within it."""
     h = mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(word + np.uint64(0x632BE59BD9B4E019)))
-    return h >> np.uint64(max(0, 16 - bits))
+    return h >> np.uint64(64 - NAME_BITS - bits)
 
 
 def _split(keys: np.ndarray, width: int, bits: int) -> list[tuple[int, int, int]]:
@@ -148,13 +160,13 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size, texts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
     bits = min(16, max(1, int(np.ceil(np.log2(max(2, size / BYTES_PER_SHARD))))))
-    width = min(64, bits + 48)
+    width = NAME_BITS + bits
 
     def opened(mine: dict) -> tuple[Block, np.ndarray]:
         n = len(mine["x"]) * 8 // 65  # 8 bytes and a bit for each document
         skip = (n + 7) // 8
         flags = np.unpackbits(np.frombuffer(mine["y"][:skip], np.uint8), count=n).astype(bool)
-        return Block(unsteps(mine["z"]), unpack(mine["w"], np.int32), unpack(mine["y"][skip:], np.int32), bits), flags
+        return Block(unsteps(mine["z"]), unsqueeze(mine["w"], np.int32), unpack(mine["y"][skip:], np.int32), bits), flags
 
     def gather(batches):
         part, made = TaskContext.get().partitionId(), 0
@@ -169,7 +181,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 known = np.array([x if x is not None else -(2**63) for x in ids.slice(lo, hi - lo).to_pylist()], dtype=np.int64)
                 absent = np.packbits(np.array(ids.slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False), dtype=bool)).tobytes()
                 lengths = np.packbits(flags[lo:hi]).tobytes() + pack((counts + 1).astype(np.int32))
-                yield _rows([(_BLOCK, name, -1, pack(known) + absent, lengths, steps(vocabulary), pack(numbers.astype(np.int32)))])
+                yield _rows([(_BLOCK, name, -1, pack(known) + absent, lengths, steps(vocabulary), squeeze(numbers.astype(np.int32)))])
 
     blocks = table(rows.mapInArrow(gather, SCHEMA))
 
@@ -184,7 +196,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                     other = np.bincount(at[~learn], minlength=len(keys)) > 0
                     for s, i, j in _split(keys, w, bits):
                         bit = np.packbits(other[i:j]).tobytes() if kind == _WORDS else None
-                        out.append((kind, mine["block"], s, steps(keys[i:j]), pack(n[i:j]), bit, None))
+                        out.append((kind, mine["block"], s, steps(keys[i:j]), squeeze(n[i:j]), bit, None))
                 yield _rows(out)
 
     def add_up(group: pa.Table) -> pa.Table:
@@ -192,7 +204,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         blocks = np.array(group.column("block").to_pylist())
         order = np.argsort(blocks)
         keys = [unsteps(group.column("x")[int(i)].as_py()) for i in order]
-        counts = np.concatenate([unpack(group.column("y")[int(i)].as_py(), np.uint32) for i in order]).astype(np.int64)
+        counts = np.concatenate([unsqueeze(group.column("y")[int(i)].as_py(), np.uint32) for i in order]).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, weights=counts).astype(np.int64)
@@ -209,7 +221,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
             flag = own[:-1]
         answer, shard, out, lo = total[inverse].astype(np.uint32), group.column("shard")[0].as_py(), [], 0
         for i, hi in zip(order, ends, strict=True):
-            out.append((kind, int(blocks[i]), shard, pack(answer[lo:hi]), np.packbits(flag[lo:hi]).tobytes(), None, None))
+            out.append((kind, int(blocks[i]), shard, squeeze(answer[lo:hi]), np.packbits(flag[lo:hi]).tobytes(), None, None))
             lo = int(hi)
         histogram = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
         stats = np.concatenate([[total.sum(), (total > 0).sum()], histogram[1 : K + 2]]).astype(np.int64)
@@ -228,9 +240,9 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         b, _ = opened(mine)
         vocabulary, skip = b.vocabulary, (len(b.lengths) + 7) // 8
         got = {k: sorted((r for r in lines if r["kind"] == k), key=lambda r: r["shard"]) for k in (_WORDS, _PAIRS)}
-        count = np.concatenate([unpack(r["x"], np.uint32) for r in got[_WORDS]]).astype(np.int64)
-        pair_count = np.concatenate([unpack(r["x"], np.uint32) for r in got[_PAIRS]]).astype(np.int64)
-        bit = {k: np.concatenate([np.unpackbits(np.frombuffer(r["y"], np.uint8), count=len(r["x"]) // 4) for r in got[k]]).astype(bool) for k in got}
+        told = {k: [unsqueeze(r["x"], np.uint32) for r in got[k]] for k in got}
+        count, pair_count = (np.concatenate(told[k]).astype(np.int64) for k in (_WORDS, _PAIRS))
+        bit = {k: np.concatenate([np.unpackbits(np.frombuffer(r["y"], np.uint8), count=len(n)) for r, n in zip(got[k], told[k], strict=True)]).astype(bool) for k in got}
         own = bit[_PAIRS]
         # after the end token nothing follows, and its place stands for the begin context here
         context = np.append(count, known.texts)
@@ -254,7 +266,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         def by_shard(kind: int, which: np.ndarray, *columns: np.ndarray) -> np.ndarray:
             which = which[np.argsort(names[which])]
             for s, i, j in _split(names[which], 64, bits):
-                out.append((kind, mine["block"], s, steps(names[which[i:j]]), *[pack(c[which[i:j]]) for c in columns], *[None] * (3 - len(columns))))
+                out.append((kind, mine["block"], s, steps(names[which[i:j]]), *[squeeze(c[which[i:j]]) for c in columns], *[None] * (3 - len(columns))))
             return which
 
         by_shard(_SUMS, np.flatnonzero((s2 > 0) & np.append(bit[_WORDS], True)), s1 / np.maximum(context, 1), s2)
@@ -265,7 +277,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         place[needed] = np.arange(len(needed))
         cells, times = np.unique(b.row[open_].astype(np.int64) << 32 | place[l2], return_counts=True)
         fixed = pack(score) + pack(bases) + pack(knew) + pack(b.lengths.astype(np.int32))
-        out.append((_SCORED, mine["block"], -1, mine["x"], mine["y"][:skip], fixed, pack(cells) + pack(times.astype(np.int32))))
+        out.append((_SCORED, mine["block"], -1, mine["x"], mine["y"][:skip], fixed, zstandard.ZstdCompressor(level=1).compress(pack(cells) + pack(times.astype(np.int32)))))
         return pa.Table.from_batches([_rows(out)])
 
     weighed = table(blocks.union(answers.where(F.col("kind").isin(_WORDS, _PAIRS))).groupBy("block").applyInArrow(weigh, SCHEMA))
@@ -273,7 +285,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     def back_off(group: pa.Table) -> pa.Table:
         """A shard of contexts: their sums over all blocks, and the backoff weights that blocks want."""
         lines = sorted(group.to_pylist(), key=lambda r: r["block"])
-        sums = [(unsteps(r["x"]), unpack(r["y"], np.float64), unpack(r["z"], np.float64)) for r in lines if r["kind"] == _SUMS]
+        sums = [(unsteps(r["x"]), unsqueeze(r["y"], np.float64), unsqueeze(r["z"], np.float64)) for r in lines if r["kind"] == _SUMS]
         if not sums:
             return pa.Table.from_batches([_rows([])])
         names, inverse = np.unique(np.concatenate([s[0] for s in sums]), return_inverse=True)
@@ -290,9 +302,10 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         n = len(mine["z"]) // 24
         score, bases = unpack(mine["z"][: 8 * n], np.float64).copy(), unpack(mine["z"][8 * n : 16 * n], np.float64)
         knew, lengths = unpack(mine["z"][16 * n : 20 * n], np.int32), unpack(mine["z"][20 * n :], np.int32)
-        m = len(mine["w"]) // 12
+        cells = zstandard.ZstdDecompressor().decompress(mine["w"]) if mine["w"] else b""
+        m = len(cells) // 12
         if m:
-            cells, times = unpack(mine["w"][: 8 * m], np.int64), unpack(mine["w"][8 * m :], np.int32)
+            cells, times = unpack(cells[: 8 * m], np.int64), unpack(cells[8 * m :], np.int32)
             weight = np.concatenate([unpack(r["x"], np.float64) for r in sorted((r for r in lines if r["kind"] == _WANTED), key=lambda r: r["shard"])])
             score += np.bincount(cells >> 32, weights=weight[cells & 0xFFFFFFFF] * times, minlength=n)
         ids, absent = unpack(mine["x"][: 8 * n], np.int64), np.unpackbits(np.frombuffer(mine["x"][8 * n :], np.uint8), count=n).astype(bool)
