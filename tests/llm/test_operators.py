@@ -122,6 +122,20 @@ def test_mixing_targets_and_shares(docs, no_docs, rows):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mixing_takes_each_target_whole_in_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_AT_LEAST", 1)  # blocks of 4096 words
+    sizes_ = {"a": [40] * 500, "b": [37, 0, 150, 113], "c": [9000, 3], "d": [1], None: [200] * 5, "e": [35] * 300}
+    made = [(s, n) for s, ns in sizes_.items() for n in ns]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(made)], "doc_id long, text string, source string")
+    got, target, taken = table(mixing.mix(docs)), {}, defaultdict(int)
+    for i, (s, n) in enumerate(made):
+        target[s] = got[i]["target"]
+        taken[s] += got[i]["taken"]
+        assert got[i]["size"] == n and 0 <= got[i]["taken"] <= 2 * n
+    assert target["b"] == 600 and target["d"] == 2
+    assert dict(taken) == {s: int(t + 0.5) for s, t in target.items()}
+
+
 # 4
 
 

@@ -3,7 +3,9 @@
 The mix has slots 0, 1, 2, ...; the golden-ratio point frac((i + 1) * phi) of slot i falls into one source's stretch of
 the cumulative target shares, so at every length of the schedule each source's slots are within a few of its share.
 The slots of a source are ranked, its documents are shuffled by hash and laid end to end, EPOCHS times over, and cut
-into blocks of equal token counts; slot rank j takes block j. A document's `taken` is the tokens of it in taken blocks.
+into blocks of equal token counts; slot rank j takes block j. A source whose slots are fewer than the blocks that its
+target reaches into gets the missing ranks, surplus ranks are cut, and so is its last block at the rounded target: each
+source's taken tokens are its rounded target. A document's `taken` is the tokens of it in taken blocks.
 
 Offsets and ranks come from two-level prefix sums (hash buckets, slot ranges), so a source with a third of all rows is
 spread over as many tasks as any other. What is one row per source (names, sizes, targets) is worked on the driver:
@@ -58,11 +60,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     slots = math.ceil(total / block)
     bounds, at = [], 0.0
     for i, (r, g) in enumerate(zip(per_source, goal, strict=True)):
-        bounds.append((i, r[0], r[1], g, at / total if total else 0.0, (at + g) / total if total else 0.0))
+        goal_words = math.floor(g + 0.5)
+        bounds.append((i, r[0], r[1], g, at / total if total else 0.0, (at + g) / total if total else 0.0, goal_words, -(-goal_words // block)))
         at += g
     if bounds:
-        bounds[-1] = (*bounds[-1][:5], 2.0)
-    plan = spark.createDataFrame(bounds, "s int, name string, source_size long, target double, low double, high double")
+        bounds[-1] = (*bounds[-1][:5], 2.0, *bounds[-1][6:])
+    plan = spark.createDataFrame(bounds, "s int, name string, source_size long, target double, low double, high double, goal long, blocks long")
 
     # slots: point -> source -> rank within the source
     cells = 4096
@@ -71,8 +74,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     stretches = plan.where("high > low").select("s", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells).cast("int"), F.floor(F.least("high", F.lit(0.9999999999)) * cells).cast("int"))).alias("cell"))
     placed = schedule.join(stretches, "cell").where("x >= low AND x < high").select("s", "id", F.floor(F.col("id") / SLOTS_PER_RANGE).alias("part"))
     before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy("s", "part").count().withColumn("earlier", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    ranked = placed.join(parts, ["s", "part"]).select("s", (F.col("earlier") + F.row_number().over(Window.partitionBy("s", "part").orderBy("id")) - 1).alias("block"))
+    parts = placed.groupBy("s", "part").count().withColumn("earlier", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumn("until", F.col("earlier") + F.col("count")).drop("count")
+    ranked = placed.join(parts.drop("until"), ["s", "part"]).select("s", (F.col("earlier") + F.row_number().over(Window.partitionBy("s", "part").orderBy("id")) - 1).alias("block"))
+    # as many blocks as the target reaches into: surplus ranks go, missing ones (few at any length of the schedule) come
+    had = plan.join(parts.groupBy("s").agg(F.max("until").alias("had")), "s", "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    missing = had.where("had < blocks").select("s", F.explode(F.sequence("had", F.col("blocks") - 1)).alias("block"), "goal")
+    ranked = ranked.join(plan.select("s", "goal", "blocks"), "s").where("block < blocks").select("s", "block", "goal").union(missing)
 
     # documents: shuffled by hash, laid end to end within their source
     buckets = max(1, n_rows // ROWS_PER_BUCKET * 4)
@@ -88,6 +95,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     # each pass over a source's documents continues its stream; a document's pieces meet their blocks
     passes = laid.where("size > 0").select("s", "bucket", "place", "size", F.explode(F.array(*[F.col("start") + F.col("source_size") * e for e in range(EPOCHS)])).alias("a"))
     pieces = passes.select("s", "bucket", "place", "a", (F.col("a") + F.col("size")).alias("z"), F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block))).alias("block"))
-    overlap = F.least("z", (F.col("block") + 1) * block) - F.greatest("a", F.col("block") * block)
+    overlap = F.greatest(F.least("z", (F.col("block") + 1) * block, "goal") - F.greatest("a", F.col("block") * block), F.lit(0))
     taken = pieces.join(ranked, ["s", "block"]).groupBy("s", "bucket", "place").agg(F.sum(overlap).cast("long").alias("taken"))
     return laid.join(taken, ["s", "bucket", "place"], "left").select(key, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
