@@ -23,10 +23,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & known).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs written with _row, a key of each row, and _mark, a hash of its columns that is the same in every run: doc_id
+    may be null, repeated or shared by different texts."""
+    return table(docs.select(*COLUMNS).withColumns({"_row": F.monotonically_increasing_id(), "_mark": F.xxhash64(*COLUMNS)}))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least doc_id."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates stays, the one with the least doc_id (null is the last)."""
+    rows = keyed(docs)
+    found = neardup.near_duplicates(rows, "_row").select("_row", "class_id").join(rows.select("_row", "_mark", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_mark", "_row")).alias("first")
+    return rows.join(found.groupBy("class_id").agg(first).select("first._row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +42,10 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes its words, rounded half up."""
-    taken = mixing.mix(docs).select("doc_id", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("times")).where("times > 0")
-    return docs.join(taken, "doc_id").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    """Each row as many times as the mix takes its words, rounded half up."""
+    rows = keyed(docs)
+    taken = mixing.mix(rows, "_row", shuffle="_mark").select("_row", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("times")).where("times > 0")
+    return rows.join(taken, "_row").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

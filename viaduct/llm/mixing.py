@@ -46,10 +46,11 @@ def targets(source_sizes: list[int], weights: list[float], share: float = SHARE,
     return out
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
-    """One row per document: key, size, source_size, target (its source's) and taken."""
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, shuffle: str | None = None) -> DataFrame:
+    """One row per document: key, size, source_size, target (its source's) and taken. The hash that shuffles is of the
+    key, or of the column shuffle where keys differ from run to run."""
     spark = docs.sparkSession
-    rows = docs.select(key, F.col(source).alias("_source"), sizes(F.col(text)).alias("size"))
+    rows = docs.select(key, F.col(shuffle or key).alias("_shuffle"), F.col(source).alias("_source"), sizes(F.col(text)).alias("size"))
     per_source = rows.groupBy("_source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(SOURCES_AT_MOST + 1).collect()
     if len(per_source) > SOURCES_AT_MOST:
         raise ValueError(f"more than {SOURCES_AT_MOST} sources")
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     # documents: shuffled by hash, laid end to end within their source
     buckets = max(1, n_rows // ROWS_PER_BUCKET * 4)
-    shuffled = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed))
+    shuffled = F.xxhash64(F.coalesce(F.col("_shuffle").cast("string"), F.lit("")), F.lit(seed))
     dealt = rows.join(plan.select("s", "name", "source_size", "target"), F.col("_source").eqNullSafe(F.col("name")))
     dealt = dealt.select(key, "size", "source_size", "target", "s", shuffled.alias("h")).withColumn("bucket", F.floor((F.shiftrightunsigned("h", 32).cast("double")) / float(1 << 32) * buckets))
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
