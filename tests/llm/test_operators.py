@@ -57,6 +57,27 @@ def test_pii_formats_links_and_clean_texts(spark):
         assert got[i]["text"] == (f"see {value}, and {value}." if value else value) and got[i]["n_private"] == 0
 
 
+def test_pii_values_beside_other_groups(spark):
+    card, iban, long_ = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "".join(f"Ab{i}" for i in range(60))
+    made = [
+        (f"card {card} 12/25", card, 1), (f"{card} 123", card, 1), (f"2024 {card}", card, 1), (f"{card} 5500 0000 0000 0004", card, 2), (f"{iban} EUR", iban, 1), (f"AB12 3456 7890 {iban} SEND", iban, 1),
+        ("at 2024-01-15T10:30:00Z", "2024-01-15", 1), ("token=eyJhbGciOi.eyJzdWIi/abc+def== end", "eyJzdWIi/abc+def", 1), (f"secret: {long_}.", long_[128:], 1), ("5 2024-01-15 123-45-6789 77", "123-45-6789", 2),
+    ]
+    clean = ["4111 1111 1111 1112", "GB82 WEST 1234 5698 7654 33"]
+    rows = [(i, t) for i, t in enumerate([m[0] for m in made] + clean)]
+    got = table(pii.private_documents(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    for i, (t, value, n) in enumerate(made):
+        before, after = t.split(value)
+        text = got[i]["text"]
+        assert value not in text and len(text) == len(t) and got[i]["n_private"] == n, t
+        if n == 1 and value in (card, iban, "2024-01-15", long_[128:]):
+            assert text.endswith(after) and (value == long_[128:] or text.startswith(before)), t
+    assert got[0]["text"][5:24] == got[1]["text"][:19] == got[2]["text"][5:] == got[3]["text"][:19] and luhn(got[1]["text"][:19].replace(" ", ""))
+    assert "5500 0000 0000 0004" not in got[3]["text"] and "eyJhbGciOi" not in got[7]["text"]
+    for i, t in enumerate(clean, len(made)):
+        assert got[i]["text"] == t and got[i]["n_private"] == 0
+
+
 def test_pii_number_permutation_is_a_bijection(spark):
     got = [r[0] for r in spark.range(2100).select(pii.permute_number(F.col("id"), 21, 100, "k", "t")).collect()]
     assert sorted(got) == list(range(2100))

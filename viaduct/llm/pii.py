@@ -12,6 +12,9 @@ What is recognised and how it is permuted:
 * e-mail addresses (the part before the @) and secrets (access keys, password/token/secret/api_key assignments):
   letters and digits permuted in their classes
 
+Cards and IBANs are recognised as whole runs of groups; of a run, the parts between group borders that pass their test are
+replaced (an expiry, a year or a currency beside them stays), and dates, SSNs and telephone numbers in the rest.
+
 Nulls stay null, empty texts stay empty, numbers that fail their validation stay as they are.
 """
 
@@ -26,12 +29,14 @@ ROUNDS = 8
 DAYS = (189, 773)  # 189 * 773 = 146,097 days, one Gregorian cycle of 400 years
 FIRST_DAY = "1800-01-01"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})+"
-SECRET = r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?i:(?<!\w)(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{8,128}+"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+SECRET = r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?i:(?<!\w)(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-./+=]{7,}[A-Za-z0-9_\-/+=]"
+IBAN = r"(?<!\w)(?=[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11})[A-Z0-9]++(?!\w)(?: [A-Z0-9]++(?!\w|[\-/.@]\w|\s{0,3}[=:]))*+"
 IPV4 = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)"
-DATE = r"(?<![\w\-/.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w\-/]|\.\d)"
+DATE = r"(?<![\w\-/.])(?:\d{4}-\d{2}-\d{2}(?:(?=T\d)|(?![\w\-/]|\.\d))|(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w\-/]|\.\d))"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
-CARD = r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"
+CARD = r"(?<![\w\-])(?=\d(?:[ \-]?\d){12})\d++(?!\w|-(?!\d))(?:[ \-]\d++(?!\w|-(?!\d)|[/.]\d))*+"
+#: Card numbers of the usual issuers: of overlapping parts that pass the Luhn test these come first.
+ISSUED = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3[068]\d{12}|6\d{15,18})$"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .\-])\d{3,4}(?:[ .\-]\d{2,4}){1,2}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, IPV4, DATE, SSN, CARD, PHONE))
 KINDS = ("email", "secret", "iban", "ipv4", "date", "ssn", "card", "phone")
@@ -150,7 +155,7 @@ def _card(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
         payload = permute_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
         whole = let(payload, lambda p: F.concat(p, ((10 - luhn_sum(F.concat(p, F.lit("0"))) % 10) % 10).cast("string")))
-        return F.when(luhn_sum(d) % 10 == 0, let(whole, lambda w: _refill(m, w))).otherwise(m)
+        return let(whole, lambda w: _refill(m, w))
 
     return let(_bare(m), new)
 
@@ -159,7 +164,7 @@ def _iban(m: Column, key: str) -> Column:
     def new(b: Column) -> Column:
         account = permute_text(F.substr(b, F.lit(5)), key, "iban")
         bare = let(account, lambda x: F.concat(F.substring(b, 1, 2), F.lpad((98 - _mod97(F.concat(F.substring(b, 1, 2), F.lit("00"), x))).cast("string"), 2, "0"), x))
-        return F.when(_mod97(b) == 1, let(bare, lambda w: _refill(m, w))).otherwise(m)
+        return let(bare, lambda w: _refill(m, w))
 
     return let(_bare(m), new)
 
@@ -180,49 +185,105 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permute_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
 
-def kind_of(m: Column) -> Column:
-    """The kind of one recognised string, the first pattern that fits it wholly."""
-    out = None
-    for kind, pattern in zip(KINDS, (EMAIL, SECRET, IBAN, IPV4, DATE, SSN, CARD, PHONE), strict=True):
-        test = m.rlike(f"^(?:{pattern})$")
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out
+PATTERNS = dict(zip(KINDS, (EMAIL, SECRET, IBAN, IPV4, DATE, SSN, CARD, PHONE), strict=True))
+CHANGES = {"email": _email, "secret": _assigned, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+#: Runs are recognised before they are cut into parts; of both, the test, the group with the separator before it, the
+#: most groups of a part and the shape of a single number.
+RUNS = {
+    "card": (lambda b: F.when(F.length(b).between(13, 19), luhn_sum(b) % 10 == 0).otherwise(F.lit(False)), r"[ \-]?\d+", 19, r"^(?:[ \-]?\d){13,19}$"),
+    "iban": (lambda b: F.when(b.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$"), _mod97(b) == 1).otherwise(F.lit(False)), r" ?[A-Z0-9]+", 34, r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"),
+}
 
 
-def replaced(m: Column, key: str) -> Column:
-    def by_kind(k: Column) -> Column:
-        return (
-            F.when(k == "email", _email(m, key)).when(k == "secret", _assigned(m, key)).when(k == "iban", _iban(m, key)).when(k == "ipv4", _ipv4(m, key))
-            .when(k == "date", _date(m, key)).when(k == "ssn", _ssn(m, key)).when(k == "card", _card(m, key)).when(k == "phone", _phone(m, key)).otherwise(m)
-        )
+def _piece(kind: Column | str, s: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), s.alias("s"))
 
-    return let(kind_of(m), by_kind)
 
+def _each(pieces: Column, kind: str, use) -> Column:
+    """pieces with use(string), pieces again, in the place of those of this kind."""
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["kind"] == kind, use(p["s"])).otherwise(F.array(_piece(p["kind"], p["s"])))))
 
-def pseudonymise(text: Column, key: str) -> Column:
-    """A struct: text with all recognised values replaced, n the number of values that changed."""
 
-    def change(t: Column) -> Column:
-        found = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
+def _scanned(t: Column, kinds: tuple[str, ...]) -> Column:
+    """Pieces of t: recognised strings, of the first kind whose pattern fits wholly, runs as "<kind> run"; plain between."""
+    any_ = "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
 
-        def joined(ms: Column) -> Column:
-            gaps = F.split(t, ANY, -1)
+    def kind_of(m: Column) -> Column:
+        out = F.when(F.lit(False), "plain")
+        for k in kinds:
+            out = out.when(m.rlike(f"^(?:{PATTERNS[k]})$"), f"{k} run" if k in RUNS else k)
+        return out.otherwise("plain")
 
-            def put(new: Column) -> Column:
-                tail = F.zip_with(new, F.slice(gaps, F.lit(2), F.size(new)), lambda a, b: F.concat(a, b))
-                changed = F.size(F.filter(F.zip_with(ms, new, lambda a, b: a != b), lambda x: x))
-                return F.struct(F.concat(F.element_at(gaps, 1), F.array_join(tail, "")).alias("text"), changed.cast("long").alias("n"))
+    found = F.transform(F.regexp_extract_all(t, F.lit(any_), F.lit(0)), lambda m: _piece(kind_of(m), m))
+    gaps = F.transform(F.split(t, any_, -1), lambda g: _piece("plain", g))
+    return F.flatten(F.zip_with(gaps, found, lambda g, m: F.when(m.isNull(), F.array(g)).otherwise(F.array(g, m))))
 
-            return F.when(F.size(ms) == 0, F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(let(F.transform(ms, lambda m: replaced(m, key)), put))
 
-        return let(found, joined)
+def _valid_parts(m: Column, kind: str) -> Column:
+    """Groups and the valid parts of a run, parts as (rank, short, i, j) from the i-th to the j-th group, best first:
+    the whole run, then issued card numbers, then longer parts, then those further left."""
+    valid, token, most, _ = RUNS[kind]
 
-    plain = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
-    # most texts hold no digit, @ or assignment: they never reach the patterns
-    return F.when(text.rlike(r"[0-9@=:]"), change(text)).otherwise(plain)
+    def tried(groups: Column) -> Column:
+        n = F.size(groups)
+
+        def one(i: Column, j: Column) -> Column:
+            rank = lambda b: F.when((i == 1) & (j == n), 0).when(b.rlike(ISSUED), 1).otherwise(2).alias("rank")
+            return let(_bare(F.array_join(F.slice(groups, i, j - i + 1), "")), lambda b: F.struct(rank(b), (-F.length(b)).alias("short"), i.alias("i"), j.alias("j"), valid(b).alias("ok")))
+
+        every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.filter(F.transform(F.sequence(i, F.least(n, i + most - 1)), lambda j: one(i, j)), lambda c: c["ok"])))
+        return F.struct(groups.alias("groups"), F.array_sort(every).alias("parts"))
+
+    return let(F.regexp_extract_all(m, F.lit(token), F.lit(0)), tried)
+
+
+def _cut(run: Column, kind: str) -> Column:
+    """Pieces of a run whose parts are found: of this kind where parts pass, no two overlapping, "rest" between them,
+    "failed" where none passes in a run that has the shape of a single number."""
+
+    def apart(taken: Column, c: Column) -> Column:
+        meets = F.exists(taken, lambda k: (k["i"] <= c["j"]) & (c["i"] <= k["j"]))
+        return F.when(meets, taken).otherwise(F.concat(taken, F.array(F.struct(c["i"].alias("i"), c["j"].alias("j")))))
+
+    groups = run["groups"]
+    between = lambda i, j: F.array_join(F.slice(groups, i, j - i + 1), "")
+    single = F.array_join(groups, "").rlike(RUNS[kind][3])
+
+    def pieces(ks: Column) -> Column:
+        n = F.size(ks)
+        before = lambda x: F.coalesce(F.get(ks, x - 1)["j"], F.lit(0))
+        parts = F.flatten(F.transform(ks, lambda k, x: F.array(_piece("rest", between(before(x) + 1, k["i"] - 1)), _piece(kind, between(k["i"], k["j"])))))
+        return F.concat(parts, F.array(_piece(F.when((n == 0) & single, "failed").otherwise("rest"), between(before(n) + 1, F.size(groups)))))
+
+    return let(F.array_sort(F.aggregate(run["parts"], F.array().cast("array<struct<i:int,j:int>>"), apart)), pieces)
+
+
+def _runs_cut(docs: DataFrame, kind: str) -> DataFrame:
+    """_pieces with the runs of this kind cut; a step of its own for the parts, so that no expression nests too deep."""
+    parts = F.transform("_pieces", lambda p: F.when(p["kind"] == f"{kind} run", _valid_parts(p["s"], kind)))
+    docs = docs.withColumn("_parts", parts)
+    cut = F.zip_with("_pieces", "_parts", lambda p, r: F.when(p["kind"] == f"{kind} run", _cut(r, kind)).otherwise(F.array(_piece(p["kind"], p["s"]))))
+    return docs.withColumn("_pieces", F.flatten(cut)).drop("_parts")
+
+
+def replaced(m: Column, kind: Column, key: str) -> Column:
+    out = F.when(kind == "plain", m)
+    for k, change in CHANGES.items():
+        out = out.when(kind == k, change(m, key))
+    return out.otherwise(m)
 
 
 def private_documents(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with its text pseudonymised in place and a column n_private; other columns stay as they are."""
-    out = docs.withColumn("_private", pseudonymise(F.col(text), key))
-    return out.withColumns({text: F.col("_private.text"), "n_private": F.col("_private.n")}).drop("_private")
+    """docs with its text pseudonymised in place and a column n_private, the number of values that changed; other
+    columns stay as they are."""
+    # most texts hold no digit, @ or assignment: they never reach the patterns
+    t = F.col(text)
+    out = docs.withColumn("_pieces", F.when(t.rlike(r"[0-9@=:]"), _scanned(t, KINDS)).otherwise(F.array(_piece("plain", t))))
+    # a single number that fails its test is no telephone number
+    out = _runs_cut(out, "iban")
+    out = out.withColumn("_pieces", _each(_each(F.col("_pieces"), "failed", lambda s: _scanned(s, ("card",))), "rest", lambda s: _scanned(s, ("card", "phone"))))
+    out = _runs_cut(out, "card")
+    out = out.withColumn("_pieces", _each(_each(F.col("_pieces"), "failed", lambda s: _scanned(s, ("date", "ssn"))), "rest", lambda s: _scanned(s, ("date", "ssn", "phone"))))
+    out = out.withColumn("_new", F.transform("_pieces", lambda p: replaced(p["s"], p["kind"], key)))
+    changed = F.size(F.filter(F.zip_with("_pieces", "_new", lambda p, b: p["s"] != b), lambda x: x)).cast("long")
+    return out.withColumns({"n_private": changed, text: F.when(t.isNotNull(), F.array_join("_new", ""))}).drop("_pieces", "_new")
