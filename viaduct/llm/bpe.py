@@ -5,7 +5,7 @@ rank; three levels of 64-way bitmaps over the ranks let find-first-set name the
 stale, and skipped, when its pair has changed since. Work follows the number of merges, whatever the length, so texts
 that are one long pre-token are fine.
 
-All new pre-tokens of an Arrow batch share one queue: their lists lie in common arrays, and a bucket's positions are
+All new pre-tokens of about a megabyte of texts share one queue: their lists lie in common arrays, and a bucket's positions are
 merged together. Within a pre-token, positions of one rank that overlap merge from the left. A pre-token in which a
 merge makes a pair of a lower rank while others of its rank wait goes one by one (merge), as that order then matters.
 Pre-tokens that recur in a task are encoded once and remembered, up to a bounded size.
@@ -25,11 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens, and characters of them, that a task remembers; checked between batches.
-REMEMBERED = 250_000
-REMEMBERED_CHARS = 16_000_000
-#: Texts that are encoded together.
-TOGETHER = 4_000
+from viaduct.llm.texts import chunks
+
+#: Pre-tokens, and bytes of their ids, that a task remembers; checked before each group of texts.
+REMEMBERED = 150_000
+REMEMBERED_BYTES = 4_000_000
+#: Bytes of whole texts that are encoded together (a longer text goes alone).
+TOGETHER = 1 << 20
 
 
 class Ranks:
@@ -236,7 +238,7 @@ class Coder:
     """Encodes and decodes with ranks given as lines of a .tiktoken file and a pattern of pre-tokens."""
 
     def __init__(self, lines: list[bytes], pattern: str) -> None:
-        self.lines, self.pattern = lines, pattern
+        self.lines, self.pattern, self.remembered = lines, pattern, 0
 
     @cached_property
     def ranks(self) -> dict[bytes, int]:
@@ -269,9 +271,10 @@ class Coder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         numbers, made = self.known
-        if len(made) > REMEMBERED or sum(map(len, made)) > 4 * REMEMBERED_CHARS:
+        if len(made) > REMEMBERED or self.remembered > REMEMBERED_BYTES:
             numbers.clear()
             made.clear()
+            self.remembered = 0
         findall, number = self.split.findall, numbers.__getitem__
         listed = [np.fromiter(map(number, findall(t)), dtype=np.int32) for t in texts]
         fresh = [p.encode() for p in list(numbers)[len(made) :]]
@@ -280,6 +283,7 @@ class Coder:
         for i, ids in zip(todo, merge_all([fresh[i] for i in todo], self.ranks, self.pairs, self.single) if todo else [], strict=True):
             found[i] = ids
         made.extend(found)
+        self.remembered += sum(map(len, found))
         get = made.__getitem__
         for each in listed:
             yield b"".join(map(get, each.tolist()))
@@ -314,11 +318,10 @@ def _each(docs: DataFrame, made: Coder, key: str, text: str, schema: str, work,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for batch in (whole.slice(lo, TOGETHER) for whole in batches for lo in range(0, max(1, whole.num_rows), TOGETHER)):
-            rows = [work(c, ids) for ids in c.encode([t or "" for t in batch.column(1).to_pylist()])]
-            if not rows:
-                continue
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(r), t) for r, t in zip(zip(*rows, strict=True), types.values(), strict=True)]], names=[key, *types])
+        for batch in batches:
+            for lo, hi, _, _ in chunks(batch.column(1), TOGETHER):
+                rows = [work(c, ids) for ids in c.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(list(r), t) for r, t in zip(zip(*rows, strict=True), types.values(), strict=True)]], names=[key, *types])
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(run, schema)
 

@@ -10,8 +10,9 @@ Banded signatures propose, and the exact multiset Jaccard similarity of the shin
 texts) are one node. Every bucket is searched in linear work first: its members are compared with one of them, in half
 of the bands the one with most mates over all bands (the common origin of a group of copies has most), in the others
 one chosen by hash. Then only members of one bucket that are not yet connected are compared, so that no link of two
-mates is lost: in buckets of up to SMALL members as pairs, in larger ones tile by tile, where a task multiplies the
-incidence matrices of two tiles' shingles and returns a link for each document and component, not all pairs.
+mates is lost: in buckets of up to SMALL members as pairs, in larger ones tile by tile. Both compare signatures of two
+bytes a component (160 bytes a document), and only for pairs that these do not rule out are the texts fetched, each
+once, and compared exactly.
 
 Documents without words link with nothing but equal texts.
 """
@@ -21,8 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viaduct.llm.shared import components, table
@@ -34,9 +34,9 @@ BANDS = 20
 ROWS = 4
 COMPONENTS = BANDS * ROWS
 SMALL = 32
-TILE = 256
-#: Shingles that a tile comparison takes at a time.
-STRIP = 4096
+TILE = 1024
+#: Size of the bitmap that tells which texts may be wanted.
+FILTER_BITS = 1 << 25
 
 
 def bag_minhash(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_rows: int, m: int = COMPONENTS) -> np.ndarray:
@@ -86,22 +86,53 @@ def bands(signature: np.ndarray, n_bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def digest(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, digest (of the text), n_shingles, keys (array<long>, empty without words)."""
+    """id, digest (of the text), n_shingles, keys (array<long>, empty without words), brief (2 bytes of each component)."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
-                raw = data.tobytes()
-                digest = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 r, h = shingles(*words(data, offsets), SHINGLE)
                 n = np.bincount(r, minlength=hi - lo)
-                keys = bands(bag_minhash(*multiset(r, h, hi - lo), hi - lo))
+                signature = bag_minhash(*multiset(r, h, hi - lo), hi - lo)
+                keys, brief = bands(signature), (mix(signature) >> np.uint64(48)).astype("<u2")
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(n.astype(np.int64)), listed], names=["id", "digest", "n", "keys"])
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n.astype(np.int64)), listed, pa.array([x.tobytes() for x in brief], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "keys", "brief"])
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", digest("text"))
+    return rows.mapInArrow(run, "id long, digest binary, n long, keys array<long>, brief binary")
+
+
+def likely_alike(left: np.ndarray, right: np.ndarray, least: int) -> np.ndarray:
+    """Whether rows of two uint16 arrays agree in at least so many components."""
+    return (left == right).sum(axis=-1) >= least
 
-    return docs.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, "id long, digest binary, n long, keys array<long>")
+
+def agreeing(similarity: float) -> int:
+    """Components in which two signatures of the similarity agree, less five standard deviations: fewer are taken as a
+    proof of less (a pair at the very threshold fails it once in 3 million)."""
+    return int(np.floor(COMPONENTS * similarity - 5 * np.sqrt(COMPONENTS * similarity * (1 - similarity))))
+
+
+def promising(pairs: DataFrame, copies: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose signatures do not rule the similarity out."""
+    brief = lambda n, name: copies.select(F.col("node").alias(n), F.col("brief").alias(name)).hint("merge")
+    met = pairs.hint("merge").join(brief("a", "left"), "a").join(brief("b", "right"), "b").select("a", "b", "left", "right")
+    least = agreeing(similarity)
+
+    def run(batches):
+        for batch in batches:
+            sides = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, COMPONENTS) for k in (2, 3)]
+            keep = pa.array(likely_alike(*sides, least))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
 
 
 def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -123,10 +154,14 @@ def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts (id, text) reach the similarity."""
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+def verified(pairs: DataFrame, copies: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts reach the similarity. docs: text, digest."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    one = table(copies.join(wanted.hint("merge"), "node", "left_semi").select("node", "digest"))
+    rows = among(docs, one, "digest").select("digest", "text").hint("merge").join(one, "digest")
+    texts = table(rows.groupBy("node").agg(F.min("text").alias("text")))
+    side = lambda n, name: texts.select(F.col("node").alias(n), F.col("text").alias(name)).hint("merge")
+    two = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
 
     def run(batches):
         for batch in batches:
@@ -136,91 +171,92 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return two.mapInArrow(run, "a long, b long")
 
 
+def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in wanted, and some more: a bitmap of FILTER_BITS hashed keys (4 MB at most, whatever the
+    number of rows) is broadcast, so that few of the other rows are shuffled by the exact join that follows."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    maps = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    named = rows.withColumn("place", place).withColumn("part", F.bitmap_bucket_number("place"))
+    return named.join(F.broadcast(maps), "part").where(byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) > 0).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: key, n_shingles, class_id (the least key of those it is connected to by copies and links
-    of the similarity or more) and kept (key = class_id). Null keys are left out; repeated keys count as one."""
-    docs = docs.where(F.col(key).isNotNull())
+    """One row per row: key, n_shingles, class_id (the least key of the rows it is connected to by copies and links of
+    the similarity or more) and kept (key = class_id).
+
+    Rows with a null key are classed by their text like all others; where a class has no other key, its class_id is
+    null and its rows are kept. Rows that share a key but not a text are classed each by its own text."""
     sketches = table(sketch(docs, key, text))
-    copies = table(sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("keys").alias("keys")))
-    members = copies.where("n > 0").select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "bucket"))
+    copies = sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("keys").alias("keys"), F.max("brief").alias("brief"))
+    copies = table(copies.withColumn("node", F.monotonically_increasing_id()))
+    members = copies.where("n > 0").select(F.col("node").alias("id"), "n", F.posexplode("keys").alias("band", "bucket"))
     crowded = table(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    inside = table(members.join(crowded, "bucket"))
+    inside = table(members.join(crowded.hint("merge"), "bucket"))
     mates = inside.groupBy("id").agg(F.sum("size").alias("mates"))
-    ranked = inside.join(mates, "id").withColumn("rank", F.when(F.col("band") % 2 == 0, F.col("mates")).otherwise(F.xxhash64("id", F.col("band") % 4)))
-    pivots = table(ranked.groupBy("bucket").agg(F.max(F.struct("rank", "id", "n")).alias("p")))
-    shared = table(inside.join(pivots, "bucket").select("bucket", "size", "id", "n", "p"))
+    ranked = inside.hint("merge").join(mates, "id").withColumn("rank", F.when(F.col("band") % 2 == 0, F.col("mates")).otherwise(F.xxhash64("id", F.col("band") % 4)))
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "id", "n")).alias("p"))
+    shared = table(inside.hint("merge").join(pivots, "bucket").select("bucket", "size", "id", "n", "p"))
     close = lambda n, m: F.least(n, m) >= F.greatest(n, m) * similarity  # noqa: E731  a bound on any Jaccard similarity
     first = shared.where((F.col("id") != F.col("p.id")) & close(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-    first = table(first)
-    crowd = shared.select("id").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(crowd, "id", "left_semi")
-    links = table(verified(first, texts, similarity))
+    first = table(promising(first, copies, similarity))
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", digest("text"))
+    links = table(verified(first, copies, texts, similarity))
     open_, pairs = _unconnected(shared, components(links), close)
-    links = links.union(verified(table(pairs.join(first, ["a", "b"], "left_anti")), texts, similarity))
-    links = table(links.union(_tiled(open_, texts, similarity)))
-    same = components(links).select(F.col("node").alias("rep"), "component")
-    classes = copies.select("digest", "rep").join(same, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    out = sketches.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "digest").join(classes, "digest").drop("digest")
-    return out.select(key, "n_shingles", "class_id", (F.col(key) == F.col("class_id")).alias("kept"))
+    pairs = promising(pairs, copies, similarity).union(_tiled(open_, copies, similarity)).distinct().hint("merge").join(first, ["a", "b"], "left_anti")
+    links = table(links.union(verified(table(pairs), copies, texts, similarity)))
+    same = components(links)
+    linked = copies.select("node", "rep").hint("merge").join(same, "node")
+    named = table(linked.groupBy("component").agg(F.min("rep").alias("class_id")))
+    linked = linked.hint("merge").join(named, "component").select("node", "class_id")
+    classes = copies.select("node", "digest", "rep").hint("merge").join(linked.withColumn("linked", F.lit(True)), "node", "left")
+    classes = classes.select("digest", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("rep")).alias("class_id"))
+    out = sketches.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "digest").hint("merge").join(classes, "digest")
+    return out.select(key, "n_shingles", "class_id", F.col(key).eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def _unconnected(shared: DataFrame, found: DataFrame, close) -> tuple[DataFrame, DataFrame]:
     """The members of buckets that hold several components, with whether theirs is the bucket's largest; and, of
     buckets of up to SMALL members, the pairs of different components whose sizes permit a link."""
-    named = shared.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "size", "id", "n", F.coalesce("component", "id").alias("component"))
+    named = shared.hint("merge").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "size", "id", "n", F.coalesce("component", "id").alias("component"))
     groups = named.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     most = groups.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("most")).where("parts > 1")
-    most = table(most.select("bucket", F.col("most.c").alias("largest_size"), F.col("most.component").alias("largest")))
-    open_ = table(named.join(most, "bucket"))
+    most = most.select("bucket", F.col("most.c").alias("largest_size"), F.col("most.component").alias("largest"))
+    open_ = table(named.hint("merge").join(most, "bucket"))
     few = open_.where(F.col("size") <= SMALL)
     outside = few.where("component <> largest").select("bucket", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    met = outside.join(few.select("bucket", "id", "n", "component"), "bucket").where((F.col("component") != F.col("xc")) & close(F.col("n"), F.col("xn")))
+    met = outside.hint("merge").join(few.select("bucket", "id", "n", "component"), "bucket").where((F.col("component") != F.col("xc")) & close(F.col("n"), F.col("xn")))
     return open_.where(F.col("size") > SMALL), met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
-def _tiled(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between components in large buckets: members outside the bucket's largest component meet all."""
+def _tiled(open_: DataFrame, copies: DataFrame, similarity: float) -> DataFrame:
+    """Promising pairs (a, b) between components in large buckets: members outside the bucket's largest component meet
+    all, tile by tile, by their brief signatures; texts stay where they are."""
     tiles = lambda n: F.ceil(n / TILE).cast("int")
     tile = lambda n: F.pmod(F.xxhash64("id"), tiles(n)).cast("int")
     rest = F.col("size") - F.col("largest_size")
     every = lambda n: F.explode(F.sequence(F.lit(0), tiles(n) - 1))
-    base = open_.select("bucket", "size", rest.alias("rest"), "id", "component", (F.col("component") != F.col("largest")).alias("out"))
-    left = base.where("out").select("bucket", tile(F.col("rest")).alias("s"), every(F.col("size")).alias("t"), F.lit(True).alias("first"), "id", "component")
-    right = base.select("bucket", every(F.col("rest")).alias("s"), tile(F.col("size")).alias("t"), F.lit(False).alias("first"), "id", "component")
-    rows = table(left.union(right)).join(texts, "id").select("bucket", "s", "t", "first", "id", "component", "text")
+    briefs = copies.select(F.col("node").alias("id"), "brief").hint("merge")
+    base = open_.select("bucket", "size", rest.alias("rest"), "id", "n", "component", (F.col("component") != F.col("largest")).alias("out")).join(briefs, "id")
+    left = base.where("out").select("bucket", tile(F.col("rest")).alias("s"), every(F.col("size")).alias("t"), F.lit(True).alias("first"), "id", "n", "component", "brief")
+    right = base.select("bucket", every(F.col("rest")).alias("s"), tile(F.col("size")).alias("t"), F.lit(False).alias("first"), "id", "n", "component", "brief")
+    least = agreeing(similarity)
 
     def compare(group: pa.Table) -> pa.Table:
         sides = []
         for flag in (True, False):
             part = group.filter(pa.compute.equal(group.column("first"), flag))
-            r, h, c = multiset(*_shingled(part.column("text")), len(part))
-            # the k-th time of a shingle is an element of its own, so common elements count as the multisets' overlap
-            again = np.repeat(np.arange(len(c)), c)
-            time = np.arange(len(again)) - np.repeat(np.cumsum(c) - c, c)
-            h = mix(h[again] + time.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            sides.append((r[again], h, np.bincount(r, weights=c, minlength=len(part)), np.array(part.column("id").to_pylist()), np.array(part.column("component").to_pylist())))
-        (ra, ha, na, ia, ca), (rb, hb, nb, ib, cb) = sides
-        common = np.intersect1d(ha, hb)
-        overlap = np.zeros((len(ia), len(ib)), dtype=np.float32)
-        for at in range(0, len(common), STRIP):
-            strip = common[at : at + STRIP]
-            faces = []
-            for r, h, n in ((ra, ha, len(ia)), (rb, hb, len(ib))):
-                k = np.minimum(np.searchsorted(strip, h), len(strip) - 1)
-                hit = strip[k] == h
-                face = np.zeros((n, len(strip)), dtype=np.float32)
-                face[r[hit], k[hit]] = 1
-                faces.append(face)
-            overlap += faces[0] @ faces[1].T
-        either = na[:, None] + nb[None, :] - overlap
-        i, j = np.nonzero((overlap / np.maximum(either, 1) >= similarity) & (ca[:, None] != cb[None, :]))
-        _, once = np.unique(np.stack([ia[i], cb[j]]), axis=1, return_index=True) if len(i) else (None, np.empty(0, np.int64))
-        return pa.table({"a": pa.array(ia[i[once]], pa.int64()), "b": pa.array(ib[j[once]], pa.int64())})
-
-    return rows.groupBy("bucket", "s", "t").applyInArrow(compare, "a long, b long")
-
-
-def _shingled(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    for _, _, data, offsets in chunks(column, 1 << 62):
-        return shingles(*words(data, offsets), SHINGLE)
-    return np.empty(0, np.int64), np.empty(0, np.uint64)
+            brief = np.frombuffer(b"".join(part.column("brief").to_pylist()), "<u2").reshape(-1, COMPONENTS)
+            sides.append((brief, *(part.column(c).to_numpy() for c in ("id", "n", "component"))))
+        (sa, ia, na, ca), (sb, ib, nb, cb) = sides
+        found: list[np.ndarray] = []
+        for i in range(len(ia)):
+            near = (cb != ca[i]) & (np.minimum(nb, na[i]) >= np.maximum(nb, na[i]) * similarity)
+            j = np.flatnonzero(near)
+            j = j[likely_alike(sb[j], sa[i], least)]
+            found.append(np.stack([np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j])]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.union(right).groupBy("bucket", "s", "t").applyInArrow(compare, "a long, b long")

@@ -2,31 +2,55 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, local mode), a temporary one is made and set."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one is made and set in local mode, and on a
+    cluster that is an error, as its machines share no temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-viaduct-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
+_written: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def table(df: DataFrame) -> DataFrame:
     """Writes df once into the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/viaduct-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = hadoop
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what table() wrote for these, which no later plan may read, and has the driver collect its garbage, so
+    that Spark's cleaner removes shuffle files of plans that are gone."""
+    for each in tables:
+        path = _written.pop(each)
+        path.getFileSystem(each.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    collected(tables[0].sparkSession)
+
+
+def collected(spark: SparkSession) -> None:
+    """Shuffle files live until the driver drops the plans that made them."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: So many powers at most are kept between calls, as Python workers are used again by later stages.
+_KEPT = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -24,12 +26,13 @@ BYTE_WORDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; kept between calls."""
+    """base^0 .. base^(n-1) modulo 2^64; up to _KEPT of them are kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16) * 5 // 4, base, dtype=np.uint64)
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         out[0] = 1
-        have = _powers[base] = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        _powers[base] = have[:_KEPT].copy() if n > _KEPT else have
     return have[:n]
 
 
