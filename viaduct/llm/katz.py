@@ -11,7 +11,7 @@ The tables never leave their shards. Documents are gathered in blocks of some me
 hashed n-grams once for each of its distinct n-grams, with its own training counts. A shard adds up the counts of all
 blocks, and answers them (so a word in every document is one request of a block, not one of each document). With the
 answers a block finds probabilities, and asks in the same way for the backoff weights that it needs. n-grams are named
-by 64-bit (words) and 44-bit (pairs, within their shard) hashes.
+by 64-bit hashes (two of n different n-grams share a name with probability n^2 / 2^65: 1 in 10,000 for 50 million).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.shared import table
+from viaduct.llm.shared import collected, release, table
 from viaduct.llm.texts import chunks, mix, words
 
 K = 5
@@ -33,8 +33,6 @@ DELTA = 0.05
 BLOCK_BYTES = 6_000_000
 #: Shards are a power of two, so many that each serves about so many bytes of text.
 BYTES_PER_SHARD = 24_000_000
-#: Bits of a pair's name within its shard; shards grow in number, not in size, so accidental equals stay as rare.
-NAME_BITS = 44
 END = np.uint64(0x9D39247E33776D41)
 BEGIN = np.uint64(0x2AF7398005AAA5C7)
 SCHEMA = "kind int, block long, shard int, x binary, y binary, z binary, w binary"
@@ -74,17 +72,15 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def pair_names(before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    """Hashes of bits + NAME_BITS bits: the shard, then the name within it."""
-    h = mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(word + np.uint64(0x632BE59BD9B4E019)))
-    return h >> np.uint64(64 - NAME_BITS - bits)
+def pair_names(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(word + np.uint64(0x632BE59BD9B4E019)))
 
 
-def _split(keys: np.ndarray, width: int, bits: int) -> list[tuple[int, int, int]]:
-    """(shard, from, to) of sorted keys of width bits whose first bits are their shard."""
+def _split(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of sorted keys whose first bits are their shard."""
     if not len(keys):
         return []
-    shards = (keys >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    shards = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     at = np.flatnonzero(np.append(True, shards[1:] != shards[:-1]))
     ends = np.append(at[1:], len(keys))
     return list(zip(shards[at].tolist(), at.tolist(), ends.tolist(), strict=True))
@@ -97,7 +93,6 @@ class Block:
     vocabulary: np.ndarray
     numbers: np.ndarray
     lengths: np.ndarray
-    bits: int
 
     def __post_init__(self) -> None:
         tokens = self.vocabulary[self.numbers]
@@ -106,7 +101,7 @@ class Block:
         self.before[1:] = self.numbers[:-1]
         self.before[np.cumsum(self.lengths) - self.lengths] = -1
         previous = np.where(self.before < 0, BEGIN, self.vocabulary[self.before])
-        self.pairs, first, self.pair = np.unique(pair_names(previous, tokens, self.bits), return_index=True, return_inverse=True)
+        self.pairs, first, self.pair = np.unique(pair_names(previous, tokens), return_index=True, return_inverse=True)
         self.left, self.right = self.before[first], self.numbers[first]
 
 
@@ -159,14 +154,13 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size, texts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
-    bits = min(16, max(1, int(np.ceil(np.log2(max(2, size / BYTES_PER_SHARD))))))
-    width = NAME_BITS + bits
+    bits = min(30, max(1, int(np.ceil(np.log2(max(2, size / BYTES_PER_SHARD))))))
 
     def opened(mine: dict) -> tuple[Block, np.ndarray]:
         n = len(mine["x"]) * 8 // 65  # 8 bytes and a bit for each document
         skip = (n + 7) // 8
         flags = np.unpackbits(np.frombuffer(mine["y"][:skip], np.uint8), count=n).astype(bool)
-        return Block(unsteps(mine["z"]), unsqueeze(mine["w"], np.int32), unpack(mine["y"][skip:], np.int32), bits), flags
+        return Block(unsteps(mine["z"]), unsqueeze(mine["w"], np.int32), unpack(mine["y"][skip:], np.int32)), flags
 
     def gather(batches):
         part, made = TaskContext.get().partitionId(), 0
@@ -191,10 +185,10 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
             for mine in batch.to_pylist():
                 b, flags = opened(mine)
                 learn, out = flags[b.row], []
-                for kind, keys, at, w in ((_WORDS, b.vocabulary, b.numbers, 64), (_PAIRS, b.pairs, b.pair, width)):
+                for kind, keys, at in ((_WORDS, b.vocabulary, b.numbers), (_PAIRS, b.pairs, b.pair)):
                     n = np.bincount(at[learn], minlength=len(keys)).astype(np.uint32)
                     other = np.bincount(at[~learn], minlength=len(keys)) > 0
-                    for s, i, j in _split(keys, w, bits):
+                    for s, i, j in _split(keys, bits):
                         bit = np.packbits(other[i:j]).tobytes() if kind == _WORDS else None
                         out.append((kind, mine["block"], s, steps(keys[i:j]), squeeze(n[i:j]), bit, None))
                 yield _rows(out)
@@ -229,6 +223,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         return pa.Table.from_batches([_rows(out)])
 
     answers = table(blocks.mapInArrow(ask, SCHEMA).groupBy("kind", "shard").applyInArrow(add_up, SCHEMA))
+    collected(spark)
     told = answers.where(F.col("kind") == _STATS).select("shard", "x").toPandas()  # a few longs from each shard
     sums = {k: sum((np.frombuffer(x, np.int64) for x in told.x[told.shard == k]), np.zeros(K + 3, np.int64)) for k in (_WORDS, _PAIRS)}
     known = Discounts.of(sums[_WORDS], sums[_PAIRS], int(texts))
@@ -265,7 +260,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
 
         def by_shard(kind: int, which: np.ndarray, *columns: np.ndarray) -> np.ndarray:
             which = which[np.argsort(names[which])]
-            for s, i, j in _split(names[which], 64, bits):
+            for s, i, j in _split(names[which], bits):
                 out.append((kind, mine["block"], s, steps(names[which[i:j]]), *[squeeze(c[which[i:j]]) for c in columns], *[None] * (3 - len(columns))))
             return which
 
@@ -281,6 +276,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         return pa.Table.from_batches([_rows(out)])
 
     weighed = table(blocks.union(answers.where(F.col("kind").isin(_WORDS, _PAIRS))).groupBy("block").applyInArrow(weigh, SCHEMA))
+    release(blocks, answers)
 
     def back_off(group: pa.Table) -> pa.Table:
         """A shard of contexts: their sums over all blocks, and the backoff weights that blocks want."""

@@ -11,8 +11,9 @@ windows have equal anchors at equal places, and about one suffix in 180 is an an
    a bucket: none repeats) and by all their bytes (still sharing: all repeat), and blocks that neither decides, by each
    window. Of anchors that step 2 found equal, one stands for all.
 
-Buckets are named by hashes of their strings, so refining a bucket is a count of equal names, which combines before
-the shuffle; a passage in very many documents is no hot task. Nulls are empty texts; matches never cross documents.
+Buckets are named by 128 bits of hashes of their strings (two of n different strings share a name with probability
+n^2 / 2^129: below 1e-12 for a hundred million million), so refining a bucket is a count of equal names, which combines
+before the shuffle; a passage in very many documents is no hot task. Nulls are empty texts; matches never cross documents.
 """
 
 from __future__ import annotations
@@ -72,16 +73,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple
         found.append((row_of[p], p, start[firsts], start[lasts], names[p].view(np.int64)))
     if not found:
         return empty, empty, empty, empty, empty
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    row, p, first, last, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.append(True, (p[1:] != p[:-1]) | (first[1:] != last[:-1] + 1))  # a run of windows that a piece's border cut is one
+    at = np.flatnonzero(new)
+    return row[at], p[at], first[at], last[np.append(at[1:], len(p)) - 1], bucket[at]
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """docs: id, digest, text. Spans (id, digest, a, b): bytes a to b are covered by windows that repeat."""
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
 
     def scan(batches):
         for batch in batches:
@@ -89,15 +89,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
             for lo, _, data, offsets in chunks(batch.column(2)):
                 row, p, first, last, bucket = anchors(data, offsets, length, q)
                 raw = data.tobytes()
-                around = [_signed(digest(raw[a : b + length])) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                around = [digest(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 base = offsets[row]
                 at = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(at), digests.take(at), pa.array(p - base, pa.int64()), pa.array((p - last).astype(np.int32)), pa.array((p - first).astype(np.int32)), pa.array(bucket), pa.array(around, pa.int64())],
+                    [ids.take(at), digests.take(at), pa.array(p - base, pa.int64()), pa.array((p - last).astype(np.int32)), pa.array((p - first).astype(np.int32)), pa.array(bucket), pa.array(around, pa.binary())],
                     names=["id", "digest", "p", "near", "far", "bucket", "around"],
                 )
 
-    found = table(docs.select("id", "digest", F.col("text").cast("binary")).mapInArrow(scan, "id long, digest long, p long, near int, far int, bucket long, around long"))
+    found = table(docs.select("id", "digest", F.col("text").cast("binary")).mapInArrow(scan, "id long, digest long, p long, near int, far int, bucket long, around binary"))
     crowded = table(found.groupBy("bucket").count().where("count > 1").select("bucket"))
     found = table(found.join(crowded, "bucket"))
     name = ["bucket", "near", "far", "around"]
@@ -133,7 +133,7 @@ def _refined(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
 
     near = joined.select("i", "d", text.alias("text"), "anchors").mapInArrow(surroundings, "id long, digest long, p long, near int, far int, open boolean, at int, bytes binary")
     near = table(near.withColumn("n", F.monotonically_increasing_id()))
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
 
     def blocks(batches):
         for batch in batches:
@@ -141,13 +141,13 @@ def _refined(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
             for n, near, far, open_, at, raw in zip(*(batch.column(c).to_pylist() for c in ("n", "near", "far", "open", "at", "bytes")), strict=True):
                 for k in range(near // BLOCK, far // BLOCK + 1):
                     r0, r1 = k * BLOCK, min(k * BLOCK + BLOCK - 1, reach)
-                    core = _signed(digest(raw[max(0, at - r0) : at - r1 + length], seed=2 * k))
+                    core = digest(raw[max(0, at - r0) : at - r1 + length], seed=2 * k)
                     inside = at - r1 >= 0 and at - r0 + length <= len(raw)
-                    out.append((n, open_, k, core, _signed(digest(raw[at - r1 : at - r0 + length], seed=2 * k + 1)) if inside else None))
+                    out.append((n, open_, k, core, digest(raw[at - r1 : at - r0 + length], seed=2 * k + 1) if inside else None))
             columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["n", "open", "k", "core", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["n", "open", "k", "core", "whole"])
 
-    cut = table(near.select("n", "near", "far", "open", "at", "bytes").mapInArrow(blocks, "n long, open boolean, k int, core long, whole long"))
+    cut = table(near.select("n", "near", "far", "open", "at", "bytes").mapInArrow(blocks, "n long, open boolean, k int, core binary, whole binary"))
     shared = table(cut.where("whole IS NOT NULL").groupBy("whole").count().where("count > 1").select("whole", F.lit(True).alias("all")))
     likely = table(cut.groupBy("core").agg(F.count("*").alias("c"), F.max("open").alias("some")).where("c > 1 AND some").select("core"))
     judged = table(cut.join(likely, "core").join(shared, "whole", "left").select("n", "open", "k", "core", F.coalesce("all", F.lit(False)).alias("all")))
@@ -164,23 +164,24 @@ def _refined(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
                 for k in ks:
                     for r in range(k * BLOCK, min(k * BLOCK + BLOCK, reach + 1)):
                         if at - r >= 0 and at - r + length <= len(raw):
-                            out.append((n, open_, r, _signed(digest(raw[at - r : at - r + length], seed=r))))
+                            out.append((n, open_, r, digest(raw[at - r : at - r + length], seed=r)))
             columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int32(), pa.int64()), strict=True)], names=["n", "open", "r", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], names=["n", "open", "r", "window"])
 
-    each = table(near.select("n", "open", "at", "bytes").join(left, "n").mapInArrow(windows, "n long, open boolean, r int, window long"))
+    each = table(near.select("n", "open", "at", "bytes").join(left, "n").mapInArrow(windows, "n long, open boolean, r int, window binary"))
     twice = table(each.groupBy("window").count().where("count > 1").select("window"))
     single = each.where("open").join(twice, "window").join(places, "n").where("r BETWEEN near AND far").select("id", "digest", (F.col("p") - F.col("r")).alias("a"), (F.col("p") - F.col("r") + length).alias("b"))
     return full.union(single)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
-    """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the remaining bytes (kept)."""
+    """One row per row: key, n_bytes, n_removed, n_spans, kept_sha256, repeated (whether any byte goes), and with
+    keep_text the remaining bytes (kept). Rows that share a key, or have none, are judged each by its own text."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
     spans = repeated_spans(rows, length).groupBy("id", "digest").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = spans.withColumnsRenamed({"id": "i", "digest": "d"})
     joined = rows.join(spans, F.col("i").eqNullSafe(F.col("id")) & (F.col("d") == F.col("digest")), "left").select("id", F.col("text").cast("binary").alias("text"), "spans")
-    fields = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if keep_text else {})
+    fields = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "repeated": pa.bool_()} | ({"kept": pa.binary()} if keep_text else {})
 
     def cut(batches):
         for batch in batches:
@@ -198,10 +199,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     end = at = max(end, b)
                 kept.append(t[at:])
                 rest = b"".join(kept)
-                values = (len(t), removed, n, hashlib.sha256(rest).hexdigest(), rest)
+                values = (len(t), removed, n, hashlib.sha256(rest).hexdigest(), removed > 0, rest)
                 for k, v in zip(fields, values, strict=False):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[k], v) for k, v in fields.items()]], names=[key, *fields])
 
-    schema = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
+    schema = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean" + (", kept binary" if keep_text else "")
     return joined.mapInArrow(cut, schema)
