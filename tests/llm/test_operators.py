@@ -249,6 +249,7 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
 
     monkeypatch.setattr(neardup, "SMALL", 4)
     monkeypatch.setattr(neardup, "TILE", 16)
+    monkeypatch.setattr(neardup, "TEXT_TILE", 8)
     base = prose(11, 150).split(" ")
     made = []
     for i in range(70):

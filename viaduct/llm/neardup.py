@@ -11,8 +11,9 @@ texts) are one node. Every bucket is searched in linear work first: its members
 of the bands the one with most mates over all bands (the common origin of a group of copies has most), in the others
 one chosen by hash. Then only members of one bucket that are not yet connected are compared, so that no link of two
 mates is lost: in buckets of up to SMALL members as pairs, in larger ones tile by tile. Both compare signatures of two
-bytes a component (160 bytes a document), and only for pairs that these do not rule out are the texts fetched, each
-once, and compared exactly.
+bytes a component (160 bytes a document) first. Pairs of small buckets that these do not rule out are compared by their
+texts; of large buckets, the members with at least one promising mate are compared by tiles of texts, exactly, so that
+what is shuffled grows with members and never with pairs.
 
 Documents without words link with nothing but equal texts.
 """
@@ -34,7 +35,11 @@ BANDS = 20
 ROWS = 4
 COMPONENTS = BANDS * ROWS
 SMALL = 32
+#: Members on a side of a tile of signatures, and of texts.
 TILE = 1024
+TEXT_TILE = 256
+#: Shingles that a tile of texts takes at a time.
+STRIP = 4096
 #: Size of the bitmap that tells which texts may be wanted.
 FILTER_BITS = 1 << 25
 
@@ -154,12 +159,16 @@ def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
+def texts_of(nodes: DataFrame, copies: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the nodes, written. docs: text, digest."""
+    one = table(copies.join(nodes.distinct().hint("merge"), "node", "left_semi").select("node", "digest"))
+    rows = among(docs, one, "digest").select("digest", "text").hint("merge").join(one, "digest")
+    return table(rows.groupBy("node").agg(F.min("text").alias("text")))
+
+
 def verified(pairs: DataFrame, copies: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts reach the similarity. docs: text, digest."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    one = table(copies.join(wanted.hint("merge"), "node", "left_semi").select("node", "digest"))
-    rows = among(docs, one, "digest").select("digest", "text").hint("merge").join(one, "digest")
-    texts = table(rows.groupBy("node").agg(F.min("text").alias("text")))
+    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), copies, docs)
     side = lambda n, name: texts.select(F.col("node").alias(n), F.col("text").alias(name)).hint("merge")
     two = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
 
@@ -204,8 +213,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", digest("text"))
     links = table(verified(first, copies, texts, similarity))
     open_, pairs = _unconnected(shared, components(links), close)
-    pairs = promising(pairs, copies, similarity).union(_tiled(open_, copies, similarity)).distinct().hint("merge").join(first, ["a", "b"], "left_anti")
-    links = table(links.union(verified(table(pairs), copies, texts, similarity)))
+    pairs = table(promising(pairs, copies, similarity).hint("merge").join(first, ["a", "b"], "left_anti"))
+    links = links.union(verified(pairs, copies, texts, similarity)).union(_tiled(open_, copies, texts, similarity))
+    links = table(links)
     same = components(links)
     linked = copies.select("node", "rep").hint("merge").join(same, "node")
     named = table(linked.groupBy("component").agg(F.min("rep").alias("class_id")))
@@ -230,17 +240,23 @@ def _unconnected(shared: DataFrame, found: DataFrame, close) -> tuple[DataFrame,
     return open_.where(F.col("size") > SMALL), met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
-def _tiled(open_: DataFrame, copies: DataFrame, similarity: float) -> DataFrame:
-    """Promising pairs (a, b) between components in large buckets: members outside the bucket's largest component meet
-    all, tile by tile, by their brief signatures; texts stay where they are."""
-    tiles = lambda n: F.ceil(n / TILE).cast("int")
+def _tiles(members: DataFrame, size: int, *columns: str) -> DataFrame:
+    """bucket, s, t, first and columns: members (bucket, id, component, out, ...) outside their bucket's largest
+    component (out, the first side of tile s) meet all members (the other side of tile t)."""
+    sizes = members.groupBy("bucket").agg(F.count_if("out").alias("rest"), F.count("*").alias("every")).where("rest > 0")
+    base = members.hint("merge").join(sizes, "bucket")
+    tiles = lambda n: F.ceil(F.col(n) / size).cast("int")
     tile = lambda n: F.pmod(F.xxhash64("id"), tiles(n)).cast("int")
-    rest = F.col("size") - F.col("largest_size")
-    every = lambda n: F.explode(F.sequence(F.lit(0), tiles(n) - 1))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), tiles(n) - 1))
+    left = base.where("out").select("bucket", tile("rest").alias("s"), all_of("every").alias("t"), F.lit(True).alias("first"), *columns)
+    return left.union(base.select("bucket", all_of("rest").alias("s"), tile("every").alias("t"), F.lit(False).alias("first"), *columns))
+
+
+def _candidates(open_: DataFrame, copies: DataFrame, similarity: float) -> DataFrame:
+    """The members of large buckets that have a promising mate in another component there: linear in the members,
+    however many mates each has."""
     briefs = copies.select(F.col("node").alias("id"), "brief").hint("merge")
-    base = open_.select("bucket", "size", rest.alias("rest"), "id", "n", "component", (F.col("component") != F.col("largest")).alias("out")).join(briefs, "id")
-    left = base.where("out").select("bucket", tile(F.col("rest")).alias("s"), every(F.col("size")).alias("t"), F.lit(True).alias("first"), "id", "n", "component", "brief")
-    right = base.select("bucket", every(F.col("rest")).alias("s"), tile(F.col("size")).alias("t"), F.lit(False).alias("first"), "id", "n", "component", "brief")
+    rows = _tiles(open_.withColumn("out", F.col("component") != F.col("largest")).join(briefs, "id"), TILE, "id", "n", "component", "brief")
     least = agreeing(similarity)
 
     def compare(group: pa.Table) -> pa.Table:
@@ -250,13 +266,58 @@ def _tiled(open_: DataFrame, copies: DataFrame, similarity: float) -> DataFrame:
             brief = np.frombuffer(b"".join(part.column("brief").to_pylist()), "<u2").reshape(-1, COMPONENTS)
             sides.append((brief, *(part.column(c).to_numpy() for c in ("id", "n", "component"))))
         (sa, ia, na, ca), (sb, ib, nb, cb) = sides
-        found: list[np.ndarray] = []
+        left, right = np.zeros(len(ia), bool), np.zeros(len(ib), bool)
         for i in range(len(ia)):
-            near = (cb != ca[i]) & (np.minimum(nb, na[i]) >= np.maximum(nb, na[i]) * similarity)
-            j = np.flatnonzero(near)
+            j = np.flatnonzero((cb != ca[i]) & (np.minimum(nb, na[i]) >= np.maximum(nb, na[i]) * similarity))
             j = j[likely_alike(sb[j], sa[i], least)]
-            found.append(np.stack([np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j])]))
-        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            left[i] = len(j)
+            right[j] = True
+        found = np.unique(np.concatenate([ia[left], ib[right]]))
+        return pa.table({"bucket": pa.array(np.full(len(found), group.column("bucket")[0].as_py()), pa.int64()), "id": pa.array(found, pa.int64())})
+
+    return rows.groupBy("bucket", "s", "t").applyInArrow(compare, "bucket long, id long").distinct()
 
-    return left.union(right).groupBy("bucket", "s", "t").applyInArrow(compare, "a long, b long")
+
+def _tiled(open_: DataFrame, copies: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components in large buckets, exactly: a task multiplies the incidence matrices of two
+    tiles' shingles and returns a link for each document and component, not all pairs."""
+    wanted = table(_candidates(open_, copies, similarity))
+    members = open_.hint("merge").join(wanted, ["bucket", "id"]).select("bucket", "id", "component", (F.col("component") != F.col("largest")).alias("out"))
+    texts = texts_of(members.select(F.col("id").alias("node")), copies, docs).withColumnRenamed("node", "id")
+    rows = table(_tiles(members, TEXT_TILE, "id", "component")).hint("merge").join(texts, "id").select("bucket", "s", "t", "first", "id", "component", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        sides = []
+        for flag in (True, False):
+            part = group.filter(pa.compute.equal(group.column("first"), flag))
+            r, h, c = multiset(*_shingled(part.column("text")), len(part))
+            # the k-th time of a shingle is an element of its own, so common elements count as the multisets' overlap
+            again = np.repeat(np.arange(len(c)), c)
+            time = np.arange(len(again)) - np.repeat(np.cumsum(c) - c, c)
+            h = mix(h[again] + time.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            sides.append((r[again], h, np.bincount(r, weights=c, minlength=len(part)), np.array(part.column("id").to_pylist()), np.array(part.column("component").to_pylist())))
+        (ra, ha, na, ia, ca), (rb, hb, nb, ib, cb) = sides
+        common = np.intersect1d(ha, hb)
+        overlap = np.zeros((len(ia), len(ib)), dtype=np.float32)
+        for at in range(0, len(common), STRIP):
+            strip = common[at : at + STRIP]
+            faces = []
+            for r, h, n in ((ra, ha, len(ia)), (rb, hb, len(ib))):
+                k = np.minimum(np.searchsorted(strip, h), len(strip) - 1)
+                hit = strip[k] == h
+                face = np.zeros((n, len(strip)), dtype=np.float32)
+                face[r[hit], k[hit]] = 1
+                faces.append(face)
+            overlap += faces[0] @ faces[1].T
+        either = na[:, None] + nb[None, :] - overlap
+        i, j = np.nonzero((overlap / np.maximum(either, 1) >= similarity) & (ca[:, None] != cb[None, :]))
+        _, once = np.unique(np.stack([ia[i], cb[j]]), axis=1, return_index=True) if len(i) else (None, np.empty(0, np.int64))
+        return pa.table({"a": pa.array(ia[i[once]], pa.int64()), "b": pa.array(ib[j[once]], pa.int64())})
+
+    return rows.groupBy("bucket", "s", "t").applyInArrow(compare, "a long, b long")
+
+
+def _shingled(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    for _, _, data, offsets in chunks(column, 1 << 62):
+        return shingles(*words(data, offsets), SHINGLE)
+    return np.empty(0, np.int64), np.empty(0, np.uint64)
