@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +44,31 @@ def stale(upstream: DataFrame, downstream: DataFrame, key: list[str], at: str) -
     return made.join(done, key, "left").select(*key, why.alias("reason")).where("reason IS NOT NULL")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the folder of spark.checkpoint.dir; where it is unset, local mode gets a temporary one and a
+    cluster an error, as its machines share no temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-viaduct-"))
+    return df.checkpoint()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components (node, component: the least node) of undirected edges (a, b), by least labels that hop along
-    links and then along labels; every round is a join and a grouped minimum, checkpointed when a folder is set."""
-    links = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    links and then along labels until no label falls; every round is a join and a grouped minimum, checkpointed. Labels
+    only fall, so their sum tells when to stop."""
+    links = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     nodes = links.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
+    before = None
+    while True:
         offered = links.join(nodes.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("offered"))
         hop = nodes.join(offered, "node", "left").select("node", F.least("component", F.coalesce("offered", "component")).alias("component"))
         jump = hop.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = hop.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"))
-        new = new.checkpoint()
-        if new.join(nodes.withColumnRenamed("component", "old"), "node").where("old <> component").isEmpty():
-            return new
-        nodes = new
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        nodes = checkpointed(hop.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")))
+        now = nodes.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return nodes
+        before = now

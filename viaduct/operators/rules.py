@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,17 @@ def judge(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rows.withColumn("reasons", reasons(rules)).withColumn("keep", F.size("reasons") == 0)
 
 
+_COMPARISON = re.compile(r"\s*(\w+)\s*(>=|<=|==|!=|=|>|<)\s*(\S+)\s*")
+
+
 def passes(expressions: list[str]) -> Column:
-    """Whether all expressions hold; one whose value is missing (null or NaN) passes."""
+    """Whether all comparisons "column operator number" hold; one whose value is missing (null or NaN) passes."""
     out = F.lit(True)
     for e in expressions:
-        out = out & F.coalesce(F.expr(e), F.lit(True))
+        found = _COMPARISON.fullmatch(e)
+        if not found:
+            raise ValueError(f"not a comparison of a column with a number: {e}")
+        value = F.col(found[1]).cast("double")
+        holds = F.expr(f"`{found[1]}` {found[2]} {float(found[3])!r}D")
+        out = out & (F.isnan(value) | F.coalesce(holds, F.lit(True)))
     return out
