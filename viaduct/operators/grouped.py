@@ -51,18 +51,6 @@ def farthest(points: np.ndarray, k: int, start: int = 0) -> list[int]:
     return picked
 
 
-def farthest_points(rows: DataFrame, group: str, order: str, vector: str, k: int) -> DataFrame:
-    """group, order and pick (0, 1, ...) of k rows of each group that lie far apart."""
-    kinds = dict(rows.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        at = farthest(np.stack(pdf[vector]).astype(float), k)
-        return pdf.loc[at, [group, order]].assign(pick=range(len(at)))
-
-    return rows.select(group, order, vector).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {order} {kinds[order]}, pick int")
-
-
 def cover(sets: list[set], k: int) -> list[int]:
     """Greedy maximum coverage: up to k sets, each adding most new elements, the first of equals; stops at no gain."""
     picked: list[int] = []
@@ -77,18 +65,6 @@ def cover(sets: list[set], k: int) -> list[int]:
     return picked
 
 
-def greedy_cover(rows: DataFrame, group: str, candidate: str, elements: str, k: int) -> DataFrame:
-    """group, candidate and pick of up to k candidates that cover most elements (an array column)."""
-    kinds = dict(rows.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(candidate, kind="stable").reset_index(drop=True)
-        at = cover([set(x) for x in pdf[elements]], k)
-        return pdf.loc[at, [group, candidate]].assign(pick=range(len(at)))
-
-    return rows.select(group, candidate, elements).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {candidate} {kinds[candidate]}, pick int")
-
-
 def activity(active: np.ndarray, span: int, share: float, miss: int = 5) -> list[tuple[int, int]]:
     """Windows [start, start + span) whose active share reaches share: a hit goes on after it, a miss by miss frames."""
     total, out, at = np.append(0, np.cumsum(active)), [], 0

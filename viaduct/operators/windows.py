@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from viaduct.operators.tracks import drop_short, encode_runs
+
 
 def stepped(rows: DataFrame, entry: str, order: list[str], value: str) -> DataFrame:
     """rows with step (first difference) and reach (distance from the first value)."""
@@ -93,24 +95,9 @@ def context_side(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"context_start": F.when(before, F.lit(0)).otherwise(F.col("e")), "context_end": F.when(before, F.col("s")).otherwise(F.col("n"))})
 
 
-def drop_short_runs(labels: list, least: int, most_runs: int | None = None) -> list:
+def drop_short_runs(labels: list, least: int) -> list:
     """Labels with the shortest runs below least handed to their neighbours, the odd frame to the left; a helper of shortened."""
-    out = list(labels)
-    while True:
-        cuts = [0, *[i for i in range(1, len(out)) if out[i] != out[i - 1]], len(out)]
-        lengths = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
-        k = min(range(len(lengths)), key=lambda i: (lengths[i], i), default=0)
-        if len(lengths) < 2 or lengths[k] >= least:
-            return out
-        a, b = cuts[k], cuts[k + 1]
-        if k == 0:
-            left = 0
-        elif k == len(lengths) - 1:
-            left = b - a
-        else:
-            left = (b - a + 1) // 2
-        out[a : a + left] = [out[a - 1]] * left
-        out[a + left : b] = [out[b]] * (b - a - left) if b < len(out) else []
+    return [x for x, n in drop_short(encode_runs(labels), least) for _ in range(n)]
 
 
 def shortened(rows: DataFrame, entry: str, order: list[str], label: str, least: int) -> DataFrame:

@@ -19,18 +19,6 @@ def viterbi_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.viterbi_turns(rows, "conv_id", "turn", "evidence", "penalty")
 
 
-@query()
-def fps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.farthest_points(load(spark, sf_dir, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL"), "label", "vec_id", "embedding", 4)
-
-
-@query()
-def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each source, up to four documents whose words cover most of it; words of four letters stand for directions."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda x: F.length(x) == 4))
-    return G.greedy_cover(load(spark, sf_dir, "documents").select("source", "doc_id", words.alias("elements")), "source", "doc_id", "elements", 4)
-
-
 @query()
 def activity_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.coalesce((F.col("value") > 50).cast("int"), F.lit(0)).alias("active"))
