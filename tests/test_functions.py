@@ -63,7 +63,7 @@ def test_short_runs_go_to_their_neighbours():
     assert windows.drop_short_runs(list("aaabccc"), 2) == list("aaaaccc")
     assert windows.drop_short_runs(list("bccc"), 2) == list("cccc")
     assert windows.drop_short_runs(list("cccb"), 2) == list("cccc")
-    assert windows.drop_short_runs(list("aaaxyzccc"), 2) == list("aaaaaaccc") or len(windows.drop_short_runs(list("aaaxyzccc"), 2)) == 9
+    assert windows.drop_short_runs(list("aaaxyzccc"), 2) == list("aaaayyccc")
     assert windows.drop_short_runs([], 3) == [] and windows.drop_short_runs(list("a"), 5) == ["a"]
 
 
@@ -71,7 +71,7 @@ def test_statistics_at_their_edges(spark):
     rows = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.0), ("b", 1.0, 5.0), ("b", 2.0, 5.0), ("b", 3.0, 5.0), ("c", 1.0, 2.0), ("c", 2.0, None)], "k string, x double, y double")
     assert {r["k"]: r["r"] for r in aggregates.pearson(rows, ["k"], "x", "y").collect()} == {"a": None, "b": 0.0, "c": None}
     assert {r["k"]: (r["n"], r["sd"]) for r in aggregates.group_table(rows, ["k"], "y", 2).collect()} == {"a": (2, 0.5), "b": (3, 0.0)}
-    assert [r["x"] for r in rows.groupBy("k").agg(aggregates.upper_median("x").alias("x")).orderBy("k").collect()] == [2.0, 2.0, 2.0]
+    assert [r["m"] for r in aggregates.at_places(rows, ["k"], "x", {"m": aggregates.upper_median}).orderBy("k").collect()] == [2.0, 2.0, 2.0]
 
 
 def test_intervals_ranges_and_splits(spark):

@@ -31,7 +31,7 @@ def and_list(items: Column) -> Column:
 def first_sentence(text: Column, most: int = 240) -> Column:
     """The text up to its first full stop, question or exclamation mark; a longer one is cut at a word and ends in '...'."""
     one = F.regexp_extract(F.trim(text), r"^[^.!?]*[.!?]?", 0)
-    cut = F.regexp_replace(F.regexp_extract(F.substring(one, 1, most), r"^(.*)\s", 1), r"[,;]+$", "")
+    cut = F.regexp_replace(F.regexp_extract(F.substring(one, 1, most), r"(?s)^(.*)\s", 1), r"[,;]+$", "")
     return F.when(F.length(one) <= most, one).otherwise(F.concat(cut, F.lit("...")))
 
 

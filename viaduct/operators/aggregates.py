@@ -22,25 +22,42 @@ def pearson(rows: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     return pairs.groupBy(*key).agg(F.count("*").alias("n"), r.alias("r"))
 
 
-def average_rank(value: str, group: list[str]) -> Column:
-    """The mean of the ranks that tied values share."""
-    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2
+def value_counts(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Distinct values of each group with how often each occurs (_c), how many values are up to it (_hi) and in all (_n):
+    equal values combine before the shuffle."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_c"))
+    up_to = F.sum("_c").over(Window.partitionBy(*key).orderBy(value))
+    return counts.withColumns({"_hi": up_to, "_n": F.sum("_c").over(Window.partitionBy(*key))})
+
+
+def average_ranked(rows: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
+    """rows with name: the mean of the ranks that tied values share."""
+    ranks = value_counts(rows, key, value).select(*key, value, (F.col("_hi") - (F.col("_c") - 1) / 2).alias(name))
+    return rows.join(ranks, [*key, value])
 
 
 def spearman(rows: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key, average_rank(x, key).alias("rx"), average_rank(y, key).alias("ry"))
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key, x, y)
+    ranked = average_ranked(average_ranked(pairs, key, x, "rx"), key, y, "ry")
     return pearson(ranked, key, "rx", "ry").withColumnRenamed("r", "rho")
 
 
-def nearest_rank(value: str, fraction: float) -> Column:
-    """The sorted value at round(fraction * (n - 1)), halves to even; an aggregate of one group's values."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.element_at(ordered, F.bround(F.lit(fraction) * (F.count(value) - 1)).cast("int") + 1)
+def nearest_rank(fraction: float):
+    """The place round(fraction * (n - 1)) of n sorted values, halves to even."""
+    return lambda n: F.bround(F.lit(fraction) * (n - 1)).cast("long")
+
+
+def upper_median(n: Column) -> Column:
+    """The place n div 2 of n sorted values."""
+    return F.floor(n / 2)
 
 
-def upper_median(value: str) -> Column:
-    """The sorted value at n div 2."""
-    return F.element_at(F.sort_array(F.collect_list(value)), (F.count(value) / 2).cast("int") + 1)
+def at_places(rows: DataFrame, key: list[str], value: str, places: dict) -> DataFrame:
+    """For each group the sorted values at the given places (functions of n), from value counts: no group is sorted whole
+    in one array."""
+    inside = lambda at: (at < F.col("_hi")) & (at >= F.col("_hi") - F.col("_c"))
+    found = [F.max(F.when(inside(place(F.col("_n"))), F.col(value))).alias(name) for name, place in places.items()]
+    return value_counts(rows, key, value).groupBy(*key).agg(*found)
 
 
 def edges(rows: DataFrame, value: str, bins: int) -> list[float]:

@@ -45,8 +45,7 @@ SELECT l_shipmonth, s[(round_even(0.1 * (n - 1), 0))::BIGINT + 1] AS p10, s[(rou
 """)
 def quantile_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "lineitem").select(F.month("l_shipdate").alias("l_shipmonth"), "l_extendedprice")
-    v = "l_extendedprice"
-    return rows.groupBy("l_shipmonth").agg(A.nearest_rank(v, 0.1).alias("p10"), A.nearest_rank(v, 0.9).alias("p90"), A.upper_median(v).alias("upper_median"))
+    return A.at_places(rows, ["l_shipmonth"], "l_extendedprice", {"p10": A.nearest_rank(0.1), "p90": A.nearest_rank(0.9), "upper_median": A.upper_median})
 
 
 @query("""

@@ -46,12 +46,12 @@ def caption_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("l")).select("r_name", X.and_list(F.col("l")).alias("caption"))
 
 
-@query("""
-SELECT doc_id, regexp_extract(trim(text), '^[^.!?]*[.!?]?') AS sentence FROM documents WHERE length(regexp_extract(trim(text), '^[^.!?]*[.!?]?')) <= 240
+@query(r"""
+WITH s AS (SELECT doc_id, regexp_extract(trim(text), '^[^.!?]*[.!?]?') AS s FROM documents)
+SELECT doc_id, CASE WHEN length(s) <= 240 THEN s ELSE regexp_replace(regexp_extract(left(s, 240), '(?s)^(.*)\s', 1), '[,;]+$', '') || '...' END AS sentence FROM s
 """)
 def first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "documents").select("doc_id", X.first_sentence(F.col("text")).alias("sentence"))
-    return rows.where(~F.col("sentence").endswith("...") | (F.length("sentence") < 4))
+    return load(spark, sf_dir, "documents").select("doc_id", X.first_sentence(F.col("text")).alias("sentence"))
 
 
 @query("""
@@ -94,57 +94,88 @@ def cosine_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
-    """Vectors of even or odd id in chunks by label, each with its place."""
-    e = load(spark, sf_dir, "embeddings").where((F.col("vec_id") % 2 == parity) & (F.col("label") < 3))
-    return e.select("label", "vec_id", "embedding", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).alias("pos")).where("pos <= 20")
+    """All vectors of even or odd id in contiguous chunks, each with its place."""
+    return M.chunked(load(spark, sf_dir, "embeddings").where(F.col("vec_id") % 2 == parity).select("vec_id", "label", "embedding"), "vec_id")
 
 
-@query("""
-WITH e AS (SELECT label, vec_id, [x::DOUBLE FOR x IN embedding] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings WHERE vec_id % 2 = 0 AND label < 3),
- d AS (SELECT a.label, a.vec_id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.label, a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM e a JOIN e b USING (label) WHERE a.pos <= 20 AND b.pos <= 20)
-SELECT label, vec_id, round(d, 6) AS radius FROM d WHERE r = 4
-""")
+_E = "e AS (SELECT vec_id, label, vec_id % 2 AS side, [x::DOUBLE FOR x IN embedding] AS v, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY vec_id % 2) AS n FROM embeddings), c AS (SELECT *, pos // least(512, ceil(n / least(5, n // 4)))::BIGINT AS chunk FROM e)"
+_K = "k AS (SELECT vec_id, d AS radius FROM (SELECT a.vec_id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM c a JOIN c b ON a.chunk = b.chunk AND a.side = b.side) WHERE r = 4)"
+_D = "r AS (SELECT c.*, radius FROM c JOIN k USING (vec_id) WHERE side = 0), f AS (SELECT c.*, radius FROM c JOIN k USING (vec_id) WHERE side = 1), d AS (SELECT r.chunk, r.vec_id AS r, f.vec_id AS f, list_distance(r.v, f.v) AS d, r.radius AS rr, p.radius AS pr FROM r JOIN f USING (chunk) JOIN f p ON p.pos = r.pos)"
+
+
+@query(f"WITH {_E}, {_K} SELECT c.chunk, vec_id, round(radius, 6) AS radius FROM c JOIN k USING (vec_id) WHERE side = 0")
 def knn_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.radii(_chunks(spark, sf_dir, 0), "label", "vec_id", "embedding", 3).withColumn("radius", F.round("radius", 6))
+    return M.radii(_chunks(spark, sf_dir, 0), "chunk", "vec_id", "embedding", 3).select("chunk", "vec_id", F.round("radius", 6).alias("radius"))
 
 
-@query("""
-WITH e AS (SELECT label, vec_id, vec_id % 2 AS side, [x::DOUBLE FOR x IN embedding] AS v, row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) AS pos FROM embeddings WHERE label < 3),
- c AS (SELECT * FROM e WHERE pos <= 20), k AS (SELECT label, vec_id, d AS radius FROM (SELECT a.label, a.vec_id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.label, a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM c a JOIN c b ON a.label = b.label AND a.side = b.side) WHERE r = 4),
- r AS (SELECT c.*, radius FROM c JOIN k USING (label, vec_id) WHERE side = 0), f AS (SELECT c.*, radius FROM c JOIN k USING (label, vec_id) WHERE side = 1),
- d AS (SELECT r.label, r.vec_id AS r, f.vec_id AS f, list_distance(r.v, f.v) AS d, r.radius AS rr, p.radius AS pr FROM r JOIN f USING (label) JOIN f p ON p.label = r.label AND p.pos = r.pos),
- x AS (SELECT label, f, max(CASE WHEN d < rr THEN 1 ELSE 0 END) AS i, sum(CASE WHEN d < rr THEN 1 ELSE 0 END) AS n FROM d GROUP BY 1, 2), y AS (SELECT label, r, max(CASE WHEN d < pr THEN 1 ELSE 0 END) AS e, max(CASE WHEN d < rr THEN 1 ELSE 0 END) AS c FROM d GROUP BY 1, 2)
-SELECT * FROM (SELECT label, round(avg(i), 6) AS precision, round(avg(n) / 3, 6) AS density FROM x GROUP BY 1) JOIN (SELECT label, round(avg(e), 6) AS recall, round(avg(c), 6) AS coverage FROM y GROUP BY 1) USING (label)
+@query(f"""
+WITH {_E}, {_K}, {_D}, x AS (SELECT chunk, f, max(CASE WHEN d < rr THEN 1 ELSE 0 END) AS i, sum(CASE WHEN d < rr THEN 1 ELSE 0 END) AS n FROM d GROUP BY 1, 2), y AS (SELECT chunk, r, max(CASE WHEN d < pr THEN 1 ELSE 0 END) AS e, max(CASE WHEN d < rr THEN 1 ELSE 0 END) AS c FROM d GROUP BY 1, 2),
+ z AS (SELECT * FROM (SELECT chunk, avg(i) AS p, avg(n) / 3 AS q FROM x GROUP BY 1) JOIN (SELECT chunk, avg(e) AS r, avg(c) AS c FROM y GROUP BY 1) USING (chunk))
+SELECT count(*)::BIGINT AS chunks, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(q), 6) AS density, round(avg(c), 6) AS coverage FROM z
 """)
 def prdc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = M.prdc(_chunks(spark, sf_dir, 0), _chunks(spark, sf_dir, 1), "label", "vec_id", "embedding", 3)
-    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "density", "coverage")})
+    """Means over the chunks; a chunk of fewer than four rows has no radius and drops out."""
+    out = M.prdc(_chunks(spark, sf_dir, 0), _chunks(spark, sf_dir, 1), "chunk", "vec_id", "embedding", 3)
+    return out.agg(F.count("*").alias("chunks"), *[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "density", "coverage")])
+
+
+@query(f"""
+WITH {_E}, {_K}, r AS (SELECT c.*, radius FROM c JOIN k USING (vec_id) WHERE side = 0) SELECT f.vec_id, count_if(list_distance(r.v, f.v) < radius)::BIGINT AS balls, count_if(list_distance(r.v, f.v) < radius) > 0 AS inside FROM c f JOIN r USING (chunk) WHERE f.side = 1 GROUP BY 1
+""")
+def prdc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each generated vector: how many balls of real ones hold it."""
+    real = _chunks(spark, sf_dir, 0)
+    balls = real.join(M.radii(real, "chunk", "vec_id", "embedding", 3), ["chunk", "vec_id"]).select("chunk", F.col("embedding").alias("x"), "radius")
+    hit = M.distance(F.col("x"), F.col("embedding")) < F.col("radius")
+    per = _chunks(spark, sf_dir, 1).join(balls, "chunk").groupBy("vec_id").agg(F.count_if(hit).alias("balls"))
+    return per.withColumn("inside", F.col("balls") > 0)
 
 
 @query("""
-WITH l AS (SELECT label, unnest([x::DOUBLE FOR x IN embedding[1:6]]) AS x, generate_subscripts(embedding[1:6], 1) AS i, vec_id FROM embeddings)
+WITH l AS (SELECT label, unnest([x::DOUBLE FOR x IN embedding]) AS x, generate_subscripts(embedding, 1) AS i, vec_id FROM embeddings)
 SELECT a.label, (a.i - 1)::INTEGER AS i, (b.i - 1)::INTEGER AS j, count(*)::BIGINT AS n, round(sum(a.x), 6) AS sx, round(sum(b.x), 6) AS sy, round(sum(a.x * b.x), 6) AS sxy FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2, 3
 """)
 def frechet_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 6).alias("v"))
+    rows = load(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("v"))
     return M.moments(rows, ["label"], "v").withColumns({c: F.round(c, 6) for c in ("sx", "sy", "sxy")})
 
 
-@query("""
-WITH e AS (SELECT label, vec_id, [x::DOUBLE FOR x IN embedding] AS v, row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) AS pos FROM embeddings WHERE label < 3),
- s AS (SELECT q.vec_id AS q, list_cosine_similarity(q.v, c.v) AS s, q.pos = c.pos AS own FROM e q JOIN e c ON q.label = c.label WHERE q.vec_id % 2 = 0 AND c.vec_id % 2 = 1 AND q.pos <= 20 AND c.pos <= 20),
- t AS (SELECT *, max(CASE WHEN own THEN s END) OVER (PARTITION BY q) AS o FROM s), r AS (SELECT q, count_if(s > o) + (count_if(s = o) - 1) / 2 AS rank FROM t GROUP BY 1)
-SELECT round(100 * avg(CASE WHEN rank < 1 THEN 1 ELSE 0 END), 2) AS r1, round(100 * avg(CASE WHEN rank < 2 THEN 1 ELSE 0 END), 2) AS r2, round(100 * avg(CASE WHEN rank < 3 THEN 1 ELSE 0 END), 2) AS r3, round(100 * avg(CASE WHEN rank < 5 THEN 1 ELSE 0 END), 2) AS r5, round(100 * avg(CASE WHEN rank < 10 THEN 1 ELSE 0 END), 2) AS r10, median(rank) + 1 AS median_rank FROM r
-""")
+@query()
+def frechet_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of the Gaussians of even and odd vectors: moments are summed by Spark, and their d x d matrices meet on the
+    driver; tests hold it against numpy."""
+    sides = M.gaussians(M.moments(load(spark, sf_dir, "embeddings").select((F.col("vec_id") % 2).alias("side"), F.col("embedding").alias("v")), ["side"], "v"), "side")
+    return spark.createDataFrame([(M.frechet(sides[0], sides[1]),)], "distance double")
+
+
+def _retrieval_sql(truth: str) -> str:
+    one = lambda name, q, c: f"SELECT '{name}' AS direction, a.vec_id AS q, list_cosine_similarity(a.v, b.v) AS s, {truth} AS own FROM c a JOIN c b ON a.chunk = b.chunk AND a.side = {q} AND b.side = {c}"
+    ks = ", ".join(f"round(100 * avg(CASE WHEN rank < {k} THEN 1 ELSE 0 END), 2) AS r{k}" for k in (1, 2, 3, 5, 10))
+    return f"WITH {_E}, s AS ({one('there', 0, 1)} UNION ALL {one('back', 1, 0)}), t AS (SELECT *, max(CASE WHEN own THEN s END) OVER (PARTITION BY direction, q) AS o FROM s), r AS (SELECT direction, q, count_if(s > o) + (count_if(s = o) - 1) / 2 AS rank FROM t WHERE o IS NOT NULL GROUP BY 1, 2) SELECT direction, {ks}, median(rank) + 1 AS median_rank, count(*)::BIGINT AS queries FROM r GROUP BY 1"
+
+
+def _retrieval(spark: SparkSession, sf_dir: str, truth) -> DataFrame:
+    """Even vectors look for their odd partners among the chunk, and the other way."""
+    sides = [_chunks(spark, sf_dir, p).select("chunk", *[F.col(c).alias(f"{c}{p}") for c in ("vec_id", "label", "pos", "embedding")]) for p in (0, 1)]
+    cosine = M.dot(F.col("embedding0"), F.col("embedding1")) / (M.norm(F.col("embedding0")) * M.norm(F.col("embedding1")))
+    pairs = sides[0].join(sides[1], "chunk").select("vec_id0", "vec_id1", cosine.alias("s"), truth.alias("own"))
+    both = [M.retrieval(pairs, f"vec_id{p}", "s", "own").withColumn("direction", F.lit(n)) for p, n in ((0, "there"), (1, "back"))]
+    return both[0].unionByName(both[1])
+
+
+@query(_retrieval_sql("a.pos = b.pos"))
 def retrieval_rk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _chunks(spark, sf_dir, 0).select("label", F.col("vec_id").alias("q"), F.col("pos").alias("qp"), F.col("embedding").alias("x"))
-    c = _chunks(spark, sf_dir, 1).select("label", "pos", F.col("embedding").alias("y"))
-    cosine = M.dot(F.col("x"), F.col("y")) / (M.norm(F.col("x")) * M.norm(F.col("y")))
-    return M.retrieval(q.join(c, "label").select("q", cosine.alias("s"), (F.col("qp") == F.col("pos")).alias("own")), "q", "s", "own")
+    return _retrieval(spark, sf_dir, F.col("pos0") == F.col("pos1"))
+
+
+@query(_retrieval_sql("a.pos = b.pos OR a.label = b.label"))
+def retrieval_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the same label are as good as the partner."""
+    return _retrieval(spark, sf_dir, (F.col("pos0") == F.col("pos1")) | (F.col("label0") == F.col("label1")))
 
 
 @query()
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the mean difference of quality and toxicity labels; weights are drawn by hash, so reruns agree."""
     rows = load(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", (F.col("quality") - F.col("toxic")).alias("d"))
-    return M.bootstrap(rows, "doc_id", "d", 200)
+    return M.bootstrap(rows, "doc_id", "d", 20_000)
