@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from viaduct.plans import aggregates, audits, choices, corpus, filters, grouped, joins, picks, relations, series, statistics, texts, tracks  # noqa: F401  they register their queries
+    from viaduct.plans import aggregates, audits, captions, choices, corpus, filters, geometry, grouped, joins, picks, relations, series, statistics, texts, tracks  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

@@ -55,15 +55,15 @@ def first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF x <> ''] AS w FROM documents WHERE lang = 'en'),
- p AS (SELECT doc_id, unnest(w) AS a, unnest(list_concat(w[2:], [NULL])) AS b FROM t)
-SELECT a AS token, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM p WHERE b = 'the' GROUP BY 1 HAVING count(*) >= 20
+WITH t AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF x <> ''] AS w FROM documents), p AS (SELECT doc_id, unnest([w[i] FOR i IN range(1, len(w) + 1) IF list_has_any(w[i + 1 : i + 3], ['the', 'le', 'der'])]) AS token FROM t)
+SELECT token, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM p GROUP BY 1 HAVING count(*) >= 20
 """)
 def token_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens that stand before 'the', by count; pairs are made within the row, without a window."""
-    docs = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.tokens(F.col("text")).alias("w"))
-    pairs = docs.select("doc_id", F.explode(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.when(b == "the", a))).alias("token")).where("token IS NOT NULL")
-    per = pairs.groupBy("token", "doc_id").agg(F.count("*").alias("c"))
+    """Tokens with an article among the three that follow, by count; the look ahead stays within the row, without a window."""
+    article = F.array(*[F.lit(x) for x in ("the", "le", "der")])
+    docs = load(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
+    ahead = F.transform("w", lambda x, i: F.when(F.arrays_overlap(F.slice(F.col("w"), i + 2, F.lit(3)), article), x))
+    per = docs.select("doc_id", F.explode(F.array_compact(ahead)).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("c"))
     return per.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).where("n >= 20")
 
 
