@@ -5,7 +5,7 @@ rank; three levels of 64-way bitmaps over the ranks let find-first-set name the
 stale, and skipped, when its pair has changed since. Work follows the number of merges, whatever the length, so texts
 that are one long pre-token are fine.
 
-All new pre-tokens of about a megabyte of texts share one queue: their lists lie in common arrays, and a bucket's positions are
+All new pre-tokens of about three megabytes of texts share one queue: their lists lie in common arrays, and a bucket's positions are
 merged together. Within a pre-token, positions of one rank that overlap merge from the left. A pre-token in which a
 merge makes a pair of a lower rank while others of its rank wait goes one by one (merge), as that order then matters.
 Pre-tokens that recur in a task are encoded once and remembered, up to a bounded size.
@@ -31,7 +31,7 @@ from viaduct.llm.texts import chunks
 REMEMBERED = 150_000
 REMEMBERED_BYTES = 4_000_000
 #: Bytes of whole texts that are encoded together (a longer text goes alone).
-TOGETHER = 1 << 20
+TOGETHER = 3 << 20
 
 
 class Ranks:
