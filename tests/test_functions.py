@@ -63,7 +63,7 @@ def test_short_runs_go_to_their_neighbours():
     assert windows.drop_short_runs(list("aaabccc"), 2) == list("aaaaccc")
     assert windows.drop_short_runs(list("bccc"), 2) == list("cccc")
     assert windows.drop_short_runs(list("cccb"), 2) == list("cccc")
-    assert windows.drop_short_runs(list("aaaxyzccc"), 2) == list("aaaayyccc")
+    assert windows.drop_short_runs(list("aaaxyzccc"), 2) == list("aaaaaaccc")
     assert windows.drop_short_runs([], 3) == [] and windows.drop_short_runs(list("a"), 5) == ["a"]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def nouns(prompt: Column, prepositions: list[str]) -> Column:
     """Last words of the phrases that follow an article, up to a preposition, comma or stop; without repeats."""
     stop = "|".join(prepositions)
-    found = F.regexp_extract_all(F.lower(prompt), F.lit(rf"\b(?:a|an|the)\s+((?:[a-z]+\s?)+?)(?=\s(?:{stop})\b|[,.;!?]|\s*$)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(prompt), F.lit(rf"\b(?:a|an|the)\s+([a-z]+(?:\s[a-z]+)*?)(?=\s(?:{stop})\b|[,.;!?]|\s*$)"), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, lambda p: F.element_at(F.split(F.trim(p), r"\s+"), -1)), lambda x: x != ""))
 
 

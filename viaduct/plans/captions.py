@@ -12,7 +12,7 @@ from viaduct.sources.tables import load
 
 
 @query(r"""
-SELECT item_id, array_to_string(list_distinct([x FOR x IN [regexp_split_to_array(trim(p), '\s+')[-1] FOR p IN regexp_extract_all(lower(text) || '.', '\b(?:a|an|the)\s+((?:[a-z]+\s?)+?)(?:\s(?:of|in|on|with)\b|[,.;!?])', 1)] IF x <> '']).list_sort(), ',') AS nouns FROM benchmark
+SELECT item_id, array_to_string(list_distinct([x FOR x IN [regexp_split_to_array(trim(p), '\s+')[-1] FOR p IN regexp_extract_all(lower(text) || '.', '\b(?:a|an|the)\s+([a-z]+(?:\s[a-z]+)*?)(?:\s(?:of|in|on|with)\b|[,.;!?])', 1)] IF x <> '']).list_sort(), ',') AS nouns FROM benchmark
 """)
 def prompt_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(T.nouns(F.col("text"), ["of", "in", "on", "with"])), ",").alias("nouns"))
