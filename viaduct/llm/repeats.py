@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.shared import table
+from viaduct.llm.shared import release, table
 from viaduct.llm.texts import chunks, prefix_hashes, slice_hashes
 
 LENGTH = 400
@@ -97,9 +97,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
                     names=["id", "digest", "p", "near", "far", "bucket", "around"],
                 )
 
-    found = table(docs.select("id", "digest", F.col("text").cast("binary")).mapInArrow(scan, "id long, digest long, p long, near int, far int, bucket long, around binary"))
-    crowded = table(found.groupBy("bucket").count().where("count > 1").select("bucket"))
-    found = table(found.join(crowded, "bucket"))
+    every = table(docs.select("id", "digest", F.col("text").cast("binary")).mapInArrow(scan, "id long, digest long, p long, near int, far int, bucket long, around binary"))
+    crowded = table(every.groupBy("bucket").count().where("count > 1").select("bucket"))
+    found = table(every.join(crowded, "bucket"))
+    release(every, crowded)
     name = ["bucket", "near", "far", "around"]
     groups = table(found.groupBy(*name).agg(F.count("*").alias("n"), F.min(F.struct("id", "digest", "p")).alias("one")))
     whole = found.join(table(groups.where("n > 1").select(*name)), name).select("id", "digest", (F.col("p") - F.col("far")).alias("a"), (F.col("p") - F.col("near") + length).alias("b"))
@@ -151,6 +152,7 @@ def _refined(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
     shared = table(cut.where("whole IS NOT NULL").groupBy("whole").count().where("count > 1").select("whole", F.lit(True).alias("all")))
     likely = table(cut.groupBy("core").agg(F.count("*").alias("c"), F.max("open").alias("some")).where("c > 1 AND some").select("core"))
     judged = table(cut.join(likely, "core").join(shared, "whole", "left").select("n", "open", "k", "core", F.coalesce("all", F.lit(False)).alias("all")))
+    release(cut, shared, likely)
     places = near.select("n", "id", "digest", "p", "near", "far")
     start = F.col("k") * BLOCK
     full = judged.where("open AND all").join(places, "n").select("id", "digest", (F.col("p") - F.least(start + BLOCK - 1, F.lit(reach))).alias("a"), (F.col("p") - start + length).alias("b"))
