@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import ipaddress
 import math
 import re
 import zlib
@@ -89,6 +90,48 @@ def test_pii_keeps_other_columns(docs, no_docs):
     assert pii.private_documents(no_docs, "k").count() == 0
 
 
+def test_pii_null_and_repeated_ids(spark):
+    rows = [(None, "call +49 30 123456"), (None, None), (7, "mail a@b.example"), (7, "mail a@b.example"), (7, "")]
+    got = [(r["doc_id"], r["text"], r["n_private"]) for r in pii.private_documents(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    same = [g for g in got if g[0] == 7 and g[2] == 1]
+    assert len(got) == 5 and len(same) == 2 and same[0] == same[1] and (None, None, 0) in got and (7, "", 0) in got
+    assert any(g[0] is None and g[2] == 1 and g[1] != rows[0][1] and g[1].startswith("call +49 ") for g in got)
+
+
+def test_pii_dates_of_one_shape_map_one_to_one(spark):
+    import datetime as dt
+
+    every = [dt.date(2023, 1, 1) + dt.timedelta(i) for i in range(0, 731)] + [dt.date(y, 12, 31) for y in (1, 199, 200, 1799, 1800, 2199, 2200, 9799, 9800, 9999)]
+    forms = [lambda d: f"{d.year:04}-{d.month:02}-{d.day:02}", lambda d: f"{d.month:02}/{d.day:02}/{d.year:04}", lambda d: f"{d.month}/{d.day}/{d.year:04}", lambda d: f"{d.day}.{d.month}.{d.year:04}", lambda d: f"{d.day:02}/{d.month:02}/{d.year:04}" if d.day > 12 else None]
+    old = sorted({f(d) for f in forms for d in every} - {None})
+    got = table(pii.private_documents(spark.createDataFrame([(i, t) for i, t in enumerate(old)], "doc_id long, text string").repartition(8), "k"))
+    new = [got[i]["text"] for i in range(len(old))]
+    shape = lambda s: re.sub("[0-9]", "9", s)
+    first = lambda s: "/" in s and int(s.split("/")[0]) > 12
+    assert len(set(new)) == len(old) and all(shape(a) == shape(b) and first(a) == first(b) for a, b in zip(old, new, strict=True))
+    assert sum(a == b for a, b in zip(old, new, strict=True)) <= 1
+    for t in new:
+        p = [int(x) for x in re.split(r"[-/.]", t)]
+        dt.date(*p) if "-" in t else dt.date(p[2], *((p[1], p[0]) if "." in t or p[0] > 12 else (p[0], p[1])))
+
+
+def test_pii_long_values_and_addresses(spark):
+    rows = [
+        ("a" * 300 + "b7@mail.example.com", "a" * 60), ("token   =     " + "Xy9" * 100, "Xy9" * 4), ("from 2001:db8:0:0:0:0:0:1f, 2001:0db8::001f.", "2001:"), ("up FE80::1A2B", "FE80"), ("mac 00:1b:44:11:3a:b7 and 00-1B-44-11-3A-B7", "44"),
+        ("std::vector a::b 12:30:45 and 01-02-03-04-05-06 or 1:2:3", None),
+    ]
+    got = table(pii.private_documents(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"), "k"))
+    for i, (t, value) in enumerate(rows):
+        assert (got[i]["text"] == t) if value is None else (value not in got[i]["text"]), t
+    a, b = re.fullmatch(r"from (.*), (.*)\.", got[2]["text"]).groups()
+    assert a == b and ipaddress.IPv6Address(a) and got[2]["n_private"] == 2
+    assert ipaddress.IPv6Address(got[3]["text"][3:]) and got[3]["text"] == got[3]["text"][:3] + got[3]["text"][3:].upper()
+    c, d = re.fullmatch("mac (.*) and (.*)", got[4]["text"]).groups()
+    assert re.fullmatch("(?:[0-9a-f]{2}:){5}[0-9a-f]{2}", c) and d == c.upper().replace(":", "-")
+    h = [r[0] for r in spark.range(256).select(pii.permute_hex(F.lpad(F.lower(F.hex("id")), 2, "0"), 1, "k", "t")).collect()]
+    assert len(set(h)) == 256 and all(re.fullmatch("[0-9a-f]{2}", x) for x in h)
+
+
 # 2
 
 
@@ -111,6 +154,18 @@ def test_language_filters_return_every_language_of_a_gram():
     assert np.round(seen[0]).tolist() == [5, 5]
 
 
+def test_languages_beyond_one_mask_and_small_ones_keep_their_grams(spark, monkeypatch):
+    names = ["", *(f"l{i:02}" for i in range(79))]
+    word = lambda i: "".join(chr(97 + (i * 7 + k * (i % 11 + 3)) % 26) for k in range(7)) + chr(97 + i % 26) + chr(97 + i // 26)
+    made = [(i * 4 + k, (word(i) + " ") * (3 if i else 200), n) for i, n in enumerate(names) for k in range(4)] + [(None, word(5) * 3, "l04"), (0, "", None)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    monkeypatch.setattr(languages, "GRAMS_PER_LANGUAGE", 20)
+    f = languages.learn(df, ["doc_id"], "text", "lang")
+    assert f.table.shape[0] == 2 and f.languages == sorted(names)
+    got = languages.predict(df, f, ["doc_id", "lang"], "text").collect()
+    assert len(got) == len(made) and all(r["lang_pred"] == ("und" if r["lang"] is None else r["lang"]) for r in got)
+
+
 # 3
 
 

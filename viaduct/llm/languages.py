@@ -1,13 +1,16 @@
 """Language identification with language-bitmask n-gram filters.
 
-Each language has a Bloom filter over hashed byte n-grams of its lower-cased words; the filters of up to 64 languages
-are bit-sliced into one table of bitmasks, so ANDing an n-gram's HASHES slots returns all languages that contain it.
+Each language has a Bloom filter over hashed byte n-grams of its lower-cased words; the filters of 64 languages at a time
+are bit-sliced into a table of bitmasks, so ANDing an n-gram's HASHES slots returns all languages that contain it.
 A text's n-grams are counted for each language by those bits, the counts are corrected for each filter's false
 positives, and the language with most wins. Filters hold the n-grams that are not much rarer in their language than in
-another, learned from a bounded, hash-chosen sample of the labelled texts (SAMPLE_PER_LANGUAGE).
+another, at most GRAMS_PER_LANGUAGE of each, learned from a bounded, hash-chosen sample of the labelled rows
+(SAMPLE_PER_LANGUAGE).
 
 Null texts, and those without a letter, are `und` with score 0. Texts whose n-grams are all unknown take the first
-learned language by code point, with score 0.
+learned language by code point, with score 0; of equal counts, too, the first by code point wins. An empty string is a
+language like another. Rows are predicted one by one: repeated rows or ids stay as many as they are, whole texts of any
+length are counted, an empty table gives an empty result, and columns other than key, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaduct.llm.texts import BYTE_WORDS, chunks, mix
@@ -53,16 +56,16 @@ def _slots(h: np.ndarray, k: int) -> np.ndarray:
 @dataclass
 class Filters:
     languages: list[str]
-    table: np.ndarray  # uint64: bit i of a slot belongs to language i
+    table: np.ndarray  # uint64: bit i of a slot in row w belongs to language 64 * w + i
     false_positive: np.ndarray  # each filter's rate
 
     def counts(self, rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
         """n-grams of each row, and those that each language contains, corrected for false positives."""
-        masks = self.table[_slots(hashes, 0)]
+        masks = self.table[:, _slots(hashes, 0)]
         for k in range(1, HASHES):
-            masks &= self.table[_slots(hashes, k)]
+            masks &= self.table[:, _slots(hashes, k)]
         total = np.bincount(rows, minlength=n_rows).astype(float)
-        seen = np.stack([np.bincount(rows, weights=((masks >> np.uint64(i)) & np.uint64(1)).astype(float), minlength=n_rows) for i in range(len(self.languages))], axis=1)
+        seen = np.stack([np.bincount(rows, weights=((masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(float), minlength=n_rows) for i in range(len(self.languages))], axis=1)
         p = self.false_positive
         return total, np.clip((seen - total[:, None] * p) / (1 - p), 0, None)
 
@@ -70,24 +73,23 @@ class Filters:
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Filters:
     """Filters from (hashes, occurrences) for each language."""
     languages = sorted(counts)
-    if len(languages) > 64:
-        raise ValueError("a bitmask holds 64 languages")
-    table = np.zeros(SLOTS, dtype=np.uint64)
+    table = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), dtype=np.uint64)
     for i, lang in enumerate(languages):
         for k in range(HASHES):
-            table[_slots(counts[lang][0], k)] |= np.uint64(1 << i)
-    fill = [float(((table >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))]
+            table[i // 64, _slots(counts[lang][0], k)] |= np.uint64(1 << i % 64)
+    fill = [float(((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(languages))]
     return Filters(languages, table, np.array([f**HASHES for f in fill]))
 
 
-def learn(docs: DataFrame, text: str, lang: str) -> Filters:
-    """Fits the filters on at most about SAMPLE_PER_LANGUAGE texts of each language, chosen by a hash of the text."""
+def learn(docs: DataFrame, key: list[str], text: str, lang: str) -> Filters:
+    """Fits the filters on at most about SAMPLE_PER_LANGUAGE rows of each language, chosen by a hash of key and text, so
+    that copies of a text enter in proportion and not all at once."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     if not sizes:
         return build({})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, SAMPLE_PER_LANGUAGE / n))])
-    drawn = F.pmod(F.xxhash64(text, F.lit(7)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    drawn = F.pmod(F.xxhash64(*key, text, F.lit(7)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     sample = known.where(drawn < F.element_at(share, F.col(lang))).select(text, lang)
 
     def count(batches):
@@ -104,8 +106,11 @@ def learn(docs: DataFrame, text: str, lang: str) -> Filters:
     rate = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, float(v))]), F.col("lang"))
     pooled = each.groupBy("gram").agg(F.sum("n").alias("all_n"), F.collect_list(F.struct("lang", "n", rate.alias("rate"))).alias("by"))
     chosen = pooled.where("all_n >= 3").select("gram", F.inline("by"), (F.array_max(F.transform("by", lambda x: x["rate"]))).alias("most")).where((F.col("n") >= 2) & (F.col("rate") >= LIFT * F.col("most")))
-    # the most usual ones of all languages together: a bounded number reaches the driver
-    rows = chosen.select("lang", "gram", "n").orderBy(F.desc("n"), "lang", "gram").limit(GRAMS_PER_LANGUAGE * len(sizes)).toPandas()
+    # the most usual ones of each language, ties by hash, found from a histogram: a bounded number reaches the driver
+    ranked = chosen.select("lang", "gram", "n", (F.col("n") * 4096 + F.pmod("gram", F.lit(4096))).alias("level"))
+    above = F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("level")))
+    least = ranked.groupBy("lang", "level").count().withColumn("above", above).where(F.col("above") <= GRAMS_PER_LANGUAGE).groupBy("lang").agg(F.min("level").alias("least"))
+    rows = ranked.join(least, "lang").where("level >= least").select("lang", "gram", "n").toPandas()
     return build({k: ((g := rows[rows.lang == k]).gram.to_numpy().view(np.uint64), g.n.to_numpy()) for k in sizes})
 
 
@@ -138,4 +143,4 @@ def predict(docs: DataFrame, filters: Filters, key: list[str], text: str) -> Dat
 
 def identify(docs: DataFrame, train: Column, key: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """Learns from the rows where train holds and predicts the language of every row."""
-    return predict(docs, learn(docs.where(train), text, lang), key, text)
+    return predict(docs, learn(docs.where(train), key, text, lang), key, text)

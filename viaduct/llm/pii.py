@@ -6,16 +6,24 @@ What is recognised and how it is permuted:
 * cards: 13 to 19 digits, optionally in groups, that pass the Luhn test; payload permuted, check digit recomputed
 * IBANs that pass the mod-97 test: letters and digits of the account part permuted in their classes, check digits recomputed
 * social security numbers in their valid ranges: a bijection of exactly those ranges
-* dates (ISO, dotted, slashed) that exist between 1800 and 2199: a bijection of the 146,097 days of that cycle
-* IPv4 addresses with octets up to 255: a bijection of the 2^32 addresses
-* telephone numbers with 10 to 15 digits and their usual marks: all but the country code permuted
+* dates (ISO, dotted, slashed) that exist in the years 1 to 9999: a bijection of the 146,097 days of each cycle of 400
+  years, from 1800 to 2199 and so on; of slashed dates the month comes first unless the first number is above 12. Strings
+  of one shape (digits of day and month, order) map to each other one to one: a day that the shape cannot show is
+  permuted again until it can
+* IPv4 addresses with octets up to 255, IPv6 addresses (whole or with ::) and MAC addresses: bijections of all addresses,
+  so that two spellings of an IPv6 address get one pseudonym, written without ::
+* telephone numbers with 10 to 15 digits and their usual marks, from 7 digits on after a +: all but the country code
+  permuted
 * e-mail addresses (the part before the @) and secrets (access keys, password/token/secret/api_key assignments):
   letters and digits permuted in their classes
 
 Cards and IBANs are recognised as whole runs of groups; of a run, the parts between group borders that pass their test are
 replaced (an expiry, a year or a currency beside them stays), and dates, SSNs and telephone numbers in the rest.
 
-Nulls stay null, empty texts stay empty, numbers that fail their validation stay as they are.
+Nulls stay null, empty texts stay empty, numbers that fail their validation stay as they are. Texts, e-mail addresses and
+secrets may have any length. Each row is changed by itself, so repeated rows and ids stay as many as they are and an empty
+table stays empty; a column n_private that docs has is replaced. Dates with the month as a word and telephone numbers of
+seven digits without an area code are not told from other text and stay.
 """
 
 from __future__ import annotations
@@ -27,10 +35,17 @@ from viaduct.llm.shared import let
 
 ROUNDS = 8
 DAYS = (189, 773)  # 189 * 773 = 146,097 days, one Gregorian cycle of 400 years
-FIRST_DAY = "1800-01-01"
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})+"
-SECRET = r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?i:(?<!\w)(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-./+=]{7,}[A-Za-z0-9_\-/+=]"
+FIRST_DAY = "0001-01-01"
+CYCLES = 24  # from the year 200 on; before and after them
+BEFORE = 72_683  # days of the years 1 to 199
+EDGES = (93, 1567)  # 93 * 1567 = 145,731 days of the years 1 to 199 and 9800 to 9999
+#: Steps after which the search for a day that the shape can show ends; each step finds one with a chance above 0.2.
+WALKS = 400
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
+SECRET = r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?i:(?<!\w)(?:password|passwd|token|secret|api_?key)\s*+[=:]\s*+[\"']?)[A-Za-z0-9_\-./+=]{7,}[A-Za-z0-9_\-/+=]"
 IBAN = r"(?<!\w)(?=[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11})[A-Z0-9]++(?!\w)(?: [A-Z0-9]++(?!\w|[\-/.@]\w|\s{0,3}[=:]))*+"
+MAC = r"(?<![\w:\-])(?:(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:])|(?=[\d\-]*[A-Fa-f])(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}(?![\w\-]))"
+IPV6 = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){1,7}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:))(?![\w:]|\.\w)"
 IPV4 = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)"
 DATE = r"(?<![\w\-/.])(?:\d{4}-\d{2}-\d{2}(?:(?=T\d)|(?![\w\-/]|\.\d))|(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w\-/]|\.\d))"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
@@ -38,8 +53,8 @@ CARD = r"(?<![\w\-])(?=\d(?:[ \-]?\d){12})\d++(?!\w|-(?!\d))(?:[ \-]\d++(?!\w|-(
 #: Card numbers of the usual issuers: of overlapping parts that pass the Luhn test these come first.
 ISSUED = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3[068]\d{12}|6\d{15,18})$"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .\-])\d{3,4}(?:[ .\-]\d{2,4}){1,2}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, IPV4, DATE, SSN, CARD, PHONE))
-KINDS = ("email", "secret", "iban", "ipv4", "date", "ssn", "card", "phone")
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, MAC, IPV6, IPV4, DATE, SSN, CARD, PHONE))
+KINDS = ("email", "secret", "iban", "mac", "ipv6", "ipv4", "date", "ssn", "card", "phone")
 
 
 def _pseudorandom(key: str, kind: str, turn: Column, other: Column) -> Column:
@@ -115,18 +130,74 @@ def _mod97(iban: Column) -> Column:
     )
 
 
+def _other_day(n: Column, key: str) -> Column:
+    """A keyed bijection of the days of the years 1 to 9999, numbered from 0, within each cycle and within the edges."""
+    cycle = DAYS[0] * DAYS[1]
+    whole = CYCLES * cycle
+    place = (n - BEFORE) % cycle
+    inner = n - place + permute_number(place, *DAYS, key, "date")
+    edge = let(permute_number(F.when(n < BEFORE, n).otherwise(n - whole), *EDGES, key, "edge date"), lambda r: F.when(r < BEFORE, r).otherwise(r + whole))
+    return F.when(n.between(BEFORE, BEFORE + whole - 1), inner).otherwise(edge)
+
+
 def _date(m: Column, key: str) -> Column:
-    iso, slash = m.rlike(r"^\d{4}-"), m.contains("/")
-    part = lambda i: F.element_at(F.split(m, r"[\-/.]"), i).cast("int")
-    day_first = ~slash | (part(1) > 12)
-    year = F.when(iso, part(1)).otherwise(part(3))
-    month = F.when(iso | day_first, part(2)).otherwise(part(1))
-    day = F.when(iso, part(3)).when(day_first, part(1)).otherwise(part(2))
-    real = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    iso, slash, parts = m.rlike(r"^\d{4}-"), m.contains("/"), F.split(m, r"[\-/.]")
+    day_first = ~slash | (parts[0].cast("int") > 12)
+    year = F.when(iso, parts[0]).otherwise(parts[2])
+    month = F.when(iso | day_first, parts[1]).otherwise(parts[0])
+    day = F.when(iso, parts[2]).when(day_first, parts[0]).otherwise(parts[1])
+    real = F.try_to_date(F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int")), "yyyy-MM-dd")
     n = F.datediff(real, F.lit(FIRST_DAY).cast("date")).cast("long")
-    new = let(n, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), permute_number(x, *DAYS, key, "date").cast("int")))
-    out = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(~slash, F.date_format(new, "dd.MM.yyyy")).when(part(1) > 12, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
-    return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), out).otherwise(m)
+    date = lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), x.cast("int"))
+
+    def shown(d: Column) -> Column:
+        return ((F.length(day) > 1) | (F.dayofmonth(d) < 10)) & ((F.length(month) > 1) | (F.month(d) < 10)) & (~slash | ~day_first | (F.dayofmonth(d) > 12))
+
+    def walk(s: Column, _: Column) -> Column:
+        further = let(_other_day(s["n"], key), lambda x: F.struct(x.alias("n"), shown(date(x)).alias("done")))
+        return F.when(s["done"], s).otherwise(further)
+
+    def text(d: Column) -> Column:
+        two = lambda x, old: F.lpad(x.cast("string"), F.length(old), "0")
+        y, mo, da = F.lpad(F.year(d).cast("string"), 4, "0"), two(F.month(d), month), two(F.dayofmonth(d), day)
+        return F.when(iso, F.concat_ws("-", y, mo, da)).when(~slash, F.concat_ws(".", da, mo, y)).when(day_first, F.concat_ws("/", da, mo, y)).otherwise(F.concat_ws("/", mo, da, y))
+
+    new = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.struct(n.alias("n"), F.lit(False).alias("done")), walk, lambda s: F.when(s["done"], s["n"]))
+    return F.when(n >= 0, F.coalesce(let(new, lambda x: text(date(x))), m)).otherwise(m)
+
+
+def permute_hex(h: Column, half: int, key: str, kind: str) -> Column:
+    """A keyed bijection of the strings of 2 * half small hexadecimal digits, half at most 16: Feistel turns by XOR."""
+    number = lambda s: F.conv(s, 16, -10).cast("long")
+    seed = lambda t, other: number(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), t.cast("string"), other.cast("string")), 256), 1, half))
+
+    def turn(s: Column, t: Column) -> Column:
+        return F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(seed(t, s["r"])).alias("r"))
+
+    start = F.struct(number(F.substring(h, 1, half)).alias("l"), number(F.substring(h, half + 1, half)).alias("r"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.lower(F.concat(F.lpad(F.hex(s["l"]), half, "0"), F.lpad(F.hex(s["r"]), half, "0"))))
+
+
+def _cased(m: Column, s: Column) -> Column:
+    return F.when(m.rlike("[A-F]"), F.upper(s)).otherwise(s)
+
+
+def _mac(m: Column, key: str) -> Column:
+    new = permute_hex(F.lower(_bare(m)), 6, key, "mac")
+    mark = F.substring(m, 3, 1)
+    return let(new, lambda h: _cased(m, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.when(i > 0, mark).otherwise(""), F.substr(h, 2 * i + 1, F.lit(2)))), "")))
+
+
+def _ipv6(m: Column, key: str) -> Column:
+    groups = lambda s: F.filter(F.split(F.coalesce(s, F.lit("")), ":"), lambda g: g != "")
+    sides = F.split(m, "::")
+    left, right = groups(F.get(sides, 0)), groups(F.get(sides, 1))
+    given = F.size(left) + F.size(right)
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), right)
+    bits = F.array_join(F.transform(every, lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    spelt = lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(h, 4 * i + 1, F.lit(4)), "^0{1,3}", "")), ":")
+    whole = F.when(m.contains("::"), (F.size(sides) == 2) & (given <= 7)).otherwise(given == 8)
+    return F.when(whole, let(permute_hex(bits, 16, key, "ipv6"), lambda h: _cased(m, spelt(h)))).otherwise(m)
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -173,7 +244,7 @@ def _phone(m: Column, key: str) -> Column:
     code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-(])", 0)
     code = F.when(code != "", code).otherwise(F.regexp_extract(m, r"^\+\d", 0))
     rest = let(F.substr(m, F.length(code) + 1), lambda r: _refill(r, permute_text(_bare(r), key, "phone")))
-    return F.when(F.length(_bare(m)).between(10, 15), F.concat(code, rest)).otherwise(m)
+    return F.when(F.length(_bare(m)).between(F.when(m.startswith("+"), 7).otherwise(10), F.lit(15)), F.concat(code, rest)).otherwise(m)
 
 
 def _assigned(m: Column, key: str) -> Column:
@@ -185,8 +256,8 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permute_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
 
-PATTERNS = dict(zip(KINDS, (EMAIL, SECRET, IBAN, IPV4, DATE, SSN, CARD, PHONE), strict=True))
-CHANGES = {"email": _email, "secret": _assigned, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+PATTERNS = dict(zip(KINDS, (EMAIL, SECRET, IBAN, MAC, IPV6, IPV4, DATE, SSN, CARD, PHONE), strict=True))
+CHANGES = {"email": _email, "secret": _assigned, "iban": _iban, "mac": _mac, "ipv6": _ipv6, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 #: Runs are recognised before they are cut into parts; of both, the test, the group with the separator before it, the
 #: most groups of a part and the shape of a single number.
 RUNS = {
