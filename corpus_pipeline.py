@@ -17,7 +17,7 @@ KNOWN_AT_LEAST = 0.1
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and longer ones whose n-grams no language knows."""
     train = remainder(F.col("doc_id"), 4) != 2
-    filters = languages.learn(docs.where(train), "text", "lang")
+    filters = languages.learn(docs.where(train), ["doc_id"], "text", "lang")
     found = languages.predict(docs, filters, COLUMNS, "text")
     known = (F.length("text") < JUDGED_FROM) | (F.col("known") >= KNOWN_AT_LEAST)
     return found.where((F.col("lang_pred") != "und") & known).select(*COLUMNS)
