@@ -43,7 +43,9 @@ MARKS = set(
 )
 #: Of these, a header's words: they hold outside articles only, whose own header bears the title.
 HEADERS = {"header", "masthead"}
+OF_ARTICLES = {"comment", "reply", "ad", "advert", "sponsored", "promo"}
 WHOLE = {"html", "body", "main"}
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 SIGMA = 1.0
 SPREAD = 0.5
@@ -74,7 +76,14 @@ class Lines(HTMLParser):
         self.pieces: list[str] = []
         self.seen = self.in_link = 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers of the source aren't needed."""
+        return j
+
     def flush(self) -> None:
+        if not self.pieces:
+            self.seen = self.in_link = 0
+            return
         text = " ".join("".join(self.pieces).split())
         if text:
             self.texts.append(text)
@@ -109,18 +118,18 @@ class Lines(HTMLParser):
             self.close_until(tag, SIBLINGS[tag])
         if tag in VOID:
             return
-        own = {k: v or "" for k, v in attrs}
-        words = _words(own.get("class", "")) | _words(own.get("id", "")) if "class" in own or "id" in own else set()
-        in_article = any(self.count.get(x) for x in ("article", "main"))
-        marked = tag not in WHOLE and bool(words & MARKS or not in_article and words & HEADERS)
-        if tag == "article":  # a post "with comments" is a post
-            marked = bool(words & {"comment", "reply", "ad", "advert", "sponsored", "promo"})
-        hidden = "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.I)
-        bad = tag in REJECTED or tag == "header" and not in_article or own.get("role") in ROLES or bool(hidden)
+        in_article = bool(self.count.get("article") or self.count.get("main"))
+        bad, marked = tag in REJECTED or tag == "header" and not in_article, False
+        if attrs and tag not in WHOLE:
+            own = {k: v or "" for k, v in attrs}
+            words = _words(f"{own.get('class', '')} {own.get('id', '')}") if "class" in own or "id" in own else set()
+            # a post "with comments" is a post
+            marked = bool(words & OF_ARTICLES) if tag == "article" else bool(words & MARKS or not in_article and words & HEADERS)
+            bad |= "hidden" in own or own.get("aria-hidden") == "true" or own.get("role") in ROLES or "style" in own and bool(HIDDEN.search(own["style"]))
         self.names.append(tag)
         self.up.append(self.open[-1])
         self.marked.append(marked)
-        self.bad.append(bool(bad) and tag not in WHOLE)
+        self.bad.append(bad)
         self.open.append(len(self.names) - 1)
         self.mute += tag in INLINE and (self.bad[-1] or self.marked[-1])
         self.count[tag] = self.count.get(tag, 0) + 1
