@@ -39,8 +39,7 @@ def worst(rows: DataFrame, value: str, id_: str, n: int) -> DataFrame:
 
 
 def ranked_by_gap(rows: DataFrame, entry: str, arm: str, value: str, a: str, b: str) -> DataFrame:
-    """entry, gap of the means of arms a and b, and place: the largest gaps first, entries without an arm last. Places are
-    counted by the number of larger gaps over whole values, so no task sees all entries."""
+    """entry, gap of the means of arms a and b, and key, which sorts entries by falling gap with those without an arm last."""
     per = rows.groupBy(entry).agg(F.avg(F.when(F.col(arm) == a, F.col(value))).alias("_a"), F.avg(F.when(F.col(arm) == b, F.col(value))).alias("_b"))
     return per.select(entry, (F.col("_a") - F.col("_b")).alias("gap")).withColumn("key", F.coalesce("gap", F.lit(-1e9)))
 
@@ -51,40 +50,54 @@ def split_by_scene(rows: DataFrame, scene: str, share: float, seed: str) -> Data
     return rows.withColumn("split", F.when(u < share, "train").otherwise("test"))
 
 
-def stratified(scenes: DataFrame, scene: str, size: str, target: int, forced: DataFrame | None = None, seed: str = "stratified") -> DataFrame:
-    """Scenes held out so that their members add up to target, in proportion of scene sizes: forced scenes first, then
-    round(remain * mass of the size / mass of all / size) of each size (halves to even), then, from the largest size
-    down, one scene at a time while the total stays within half a scene of the target. Columns: scene, size, why.
+def quotas_by_size(sizes: DataFrame, size: str, target: int) -> DataFrame:
+    """sizes (size, n: scenes of that size) with wanted, how many to take so that sizes add up to the target, in proportion
+    of n. Every size first gets the whole part of its proportional share. Of what is left the sizes get one scene more by
+    falling remainder (then by falling size), as long as the running sum of these sizes stays nearer to what is left than
+    without the last: the total misses a target within reach by at most half the size of one scene.
+
+    One row a size (cameras of a scene: few), so its windows are small; scenes never meet here."""
+    mass = sizes.agg(F.coalesce(F.sum(F.col(size) * F.col("n")), F.lit(0))).first()[0]
+    target = max(0, min(int(target), mass))
+    share = sizes.select(size, "n", F.expr(f"{target} * n div {max(mass, 1)}").alias("whole"), F.expr(f"{target} * n % {max(mass, 1)}").alias("rest"))
+    every = Window.partitionBy(F.lit(1))
+    order = every.orderBy(F.desc("rest"), F.desc(size)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cost = F.when(F.col("rest") > 0, F.col(size)).otherwise(0)
+    until, left = F.sum(cost).over(order), F.lit(target) - F.sum(F.col("whole") * F.col(size)).over(every)
+    return share.select(size, "n", (F.col("whole") + ((F.col("rest") > 0) & (2 * until - F.col(size) <= 2 * left)).cast("long")).alias("wanted"))
+
 
-    Sizes are few (cameras of a scene), so quotas and what is missing are a small table; the scenes themselves are
-    ranked within their size by their draw."""
-    spark = scenes.sparkSession
+def first_drawn(rows: DataFrame, group: str, wanted: str, id_: str, seed: str) -> DataFrame:
+    """The first rows of each group by their draw, as many as their column wanted says. Draws fall into 4,096 ranges, of
+    which all but the last one wanted are taken by their counts, so only that range's rows are ranked against each other."""
+    dealt = rows.withColumn("_x", draw(seed, id_)).withColumn("_range", F.substring("_x", 1, 3))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    some = dealt.join(counts, [group, "_range"]).where(F.col("_before") < F.col(wanted))
+    rank = F.row_number().over(Window.partitionBy(group, "_range").orderBy("_x", id_))
+    return some.withColumn("_r", F.col("_before") + rank).where(F.col("_r") <= F.col(wanted)).drop("_x", "_range", "_n", "_before", "_r")
+
+
+def stratified(scenes: DataFrame, scene: str, size: str, target: int, forced: DataFrame | None = None, seed: str = "stratified") -> DataFrame:
+    """Scenes held out so that their sizes add up to about target: the forced ones, and of the others as many of each
+    size as quotas_by_size gives, by their draw. Columns: scene, size, why (forced, drawn)."""
     have = forced.select(scene).distinct() if forced is not None else scenes.limit(0).select(scene)
-    first = scenes.join(have, scene, "left_semi").select(scene, size)
-    pool = scenes.join(have, scene, "left_anti").select(scene, size)
-    got = first.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    buckets = {r[size]: r["count"] for r in pool.groupBy(size).count().collect()}  # a row a size
-    mass = sum(k * n for k, n in buckets.items()) or 1
-    quota = {k: min(n, round(max(0, target - got) * k * n / mass / k)) for k, n in buckets.items()}
-    got += sum(k * q for k, q in quota.items())
-    extra = dict.fromkeys(buckets, 0)
-    while got < target:
-        k = next((k for k in sorted(buckets, reverse=True) if quota[k] + extra[k] < buckets[k] and got + k <= target + k // 2), None)
-        if k is None:
-            break
-        extra[k] += 1
-        got += k
-    wanted = spark.createDataFrame([(k, quota[k], quota[k] + extra[k]) for k in buckets], f"{size} long, _q long, _all long")
-    rank = F.row_number().over(Window.partitionBy(size).orderBy(draw(seed, scene), scene))
-    drawn = pool.withColumn(size, F.col(size).cast("long")).join(wanted, size).withColumn("_r", rank).where(F.col("_r") <= F.col("_all"))
-    drawn = drawn.select(scene, size, F.when(F.col("_r") <= F.col("_q"), "quota").otherwise("residual").alias("why"))
-    return first.select(scene, F.col(size).cast("long").alias(size), F.lit("forced").alias("why")).unionByName(drawn)
-
-
-def split_again(scenes: DataFrame, old: DataFrame, scene: str, mod: int) -> DataFrame:
-    """Scenes with split: as in old where it lists them, else test for every mod-th by md5, train otherwise."""
-    fresh = F.when(F.conv(F.substring(draw("split", scene), 1, 7), 16, 10).cast("long") % mod == 0, "test").otherwise("train")
-    return scenes.select(scene).distinct().join(old.select(scene, F.col("split").alias("_old")), scene, "left").select(scene, F.coalesce("_old", fresh).alias("split"), F.col("_old").isNotNull().alias("kept"))
+    sized = scenes.select(scene, F.col(size).cast("long").alias(size))
+    first, pool = sized.join(have, scene, "left_semi"), sized.join(have, scene, "left_anti")
+    left = target - first.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    quota = quotas_by_size(pool.groupBy(size).agg(F.count("*").alias("n")), size, left).where("wanted > 0").select(size, "wanted")
+    drawn = first_drawn(pool.join(F.broadcast(quota), size), size, "wanted", scene, seed)
+    return first.withColumn("why", F.lit("forced")).unionByName(drawn.select(scene, size, F.lit("drawn").alias("why")))
+
+
+def split_again(scenes: DataFrame, old: DataFrame, scene: str, size: str, share: float, seed: str = "stratified") -> DataFrame:
+    """scene, split, kept: scenes that old lists keep their split; of the new ones a share of their sizes is held out for
+    test, stratified by size, and the others train."""
+    known = scenes.select(scene, size).join(old.select(scene, F.col("split").alias("_old")), scene, "left")
+    new = known.where("_old IS NULL").select(scene, size)
+    mass = new.agg(F.bround(F.coalesce(F.sum(size), F.lit(0)) * F.lit(float(share)))).first()[0]
+    test = stratified(new, scene, size, int(mass), seed=seed).select(scene, F.lit("test").alias("_new"))
+    return known.join(test, scene, "left").select(scene, F.coalesce("_old", "_new", F.lit("train")).alias("split"), F.col("_old").isNotNull().alias("kept"))
 
 
 def drawn_above(rows: DataFrame, scene: str, id_: str, purity: str, floor: float, cap: int, seed: str) -> DataFrame:

@@ -80,24 +80,35 @@ def row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_by_scene(load(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.9, "rows")
 
 
-@query()
+def _quota_sql(pool: str, target: str, key: str) -> str:
+    """CTEs m, b, q, h over the pool (key, size): the rows drawn by size."""
+    return f"""
+m AS (SELECT coalesce(sum(size), 0)::BIGINT AS mass, greatest(0, least(({target})::BIGINT, coalesce(sum(size), 0)::BIGINT)) AS goal FROM {pool}),
+b AS (SELECT size, count(*) AS n, any_value(goal) * count(*) // any_value(mass) AS whole, any_value(goal) * count(*) % any_value(mass) AS rest, any_value(goal) AS goal FROM {pool}, m GROUP BY size),
+q AS (SELECT size, whole + CASE WHEN rest > 0 AND 2 * sum(CASE WHEN rest > 0 THEN size ELSE 0 END) OVER (ORDER BY rest DESC, size DESC ROWS UNBOUNDED PRECEDING) - size <= 2 * (goal - sum(whole * size) OVER ()) THEN 1 ELSE 0 END AS wanted FROM b),
+h AS (SELECT * FROM (SELECT {pool}.*, wanted, row_number() OVER (PARTITION BY size ORDER BY md5('stratified|' || {key}), {key}) AS r FROM {pool} JOIN q USING (size)) WHERE r <= wanted)"""
+
+
+@query(f"""
+WITH s AS (SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1), f AS (SELECT s.* FROM s JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9950), p AS (SELECT * FROM s WHERE o_custkey NOT IN (SELECT o_custkey FROM f)), {_quota_sql("p", "400 - (SELECT coalesce(sum(size), 0) FROM f)", "o_custkey")}
+SELECT o_custkey, size, 'forced' AS why FROM f UNION ALL SELECT o_custkey, size, 'drawn' FROM h
+""")
 def stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers held out in proportion of their orders, to 400 orders, the richest ones forced; tests hold the quotas and
-    the residual correction against a plain loop."""
+    """Customers held out in proportion of their orders, to 400 orders, the richest ones forced."""
     scenes = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("size"))
     forced = load(spark, sf_dir, "customer").where("c_acctbal > 9950").select(F.col("c_custkey").alias("o_custkey"))
     return C.stratified(scenes, "o_custkey", "size", 400, forced)
 
 
-@query("""
-WITH o AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM customer WHERE c_nationkey < 12)
-SELECT c_custkey, coalesce(o.split, CASE WHEN ('0x' || md5('split|' || c_custkey)[1:7])::BIGINT % 10 = 0 THEN 'test' ELSE 'train' END) AS split, o.split IS NOT NULL AS kept FROM customer LEFT JOIN o USING (c_custkey)
+@query(f"""
+WITH s AS (SELECT c_custkey, c_nationkey, count(o_orderkey) AS size FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2), p AS (SELECT c_custkey, size FROM s WHERE c_nationkey >= 12), {_quota_sql("p", "(SELECT round_even(coalesce(sum(size), 0) * 0.1::DOUBLE, 0) FROM p)", "c_custkey")}
+SELECT c_custkey, CASE WHEN c_nationkey < 12 THEN CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END WHEN c_custkey IN (SELECT c_custkey FROM h) THEN 'test' ELSE 'train' END AS split, c_nationkey < 12 AS kept FROM s
 """)
 def kept_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An old split stays, new scenes are dealt by hash."""
-    rows = load(spark, sf_dir, "customer")
+    """An old split of customers stays; of the new ones a tenth of their orders is held out, stratified by their number."""
+    rows, orders = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("size"))
     old = rows.where("c_nationkey < 12").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "test").otherwise("train").alias("split"))
-    return C.split_again(rows, old, "c_custkey", 10)
+    return C.split_again(rows.select("c_custkey").join(orders, "c_custkey", "left").na.fill(0, ["size"]), old, "c_custkey", "size", 0.1)
 
 
 @query("""

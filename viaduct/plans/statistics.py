@@ -81,7 +81,7 @@ def line_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_suppkey, round(avg(l_discount), 6) AS score, count(DISTINCT l_shipdate)::BIGINT AS frames, round(avg(l_quantity), 6) AS mean_area, max(l_quantity) AS max_area FROM lineitem GROUP BY 1
+SELECT l_suppkey, round(sum(l_discount::DECIMAL(18,4))::DOUBLE / count(l_discount), 6) AS score, count(DISTINCT l_shipdate)::BIGINT AS frames, round(sum(l_quantity::DECIMAL(18,4))::DOUBLE / count(l_quantity), 6) AS mean_area, max(l_quantity) AS max_area FROM lineitem GROUP BY 1
 """)
 def track_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.track_summary(load(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_discount", "l_shipdate", "l_quantity"), "score", "mean_area")

@@ -98,7 +98,7 @@ def _chunks(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
     return M.chunked(load(spark, sf_dir, "embeddings").where(F.col("vec_id") % 2 == parity).select("vec_id", "label", "embedding"), "vec_id")
 
 
-_E = "e AS (SELECT vec_id, label, vec_id % 2 AS side, [x::DOUBLE FOR x IN embedding] AS v, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY vec_id % 2) AS n FROM embeddings), c AS (SELECT *, pos // least(512, ceil(n / least(5, n // 4)))::BIGINT AS chunk FROM e)"
+_E = "e AS (SELECT vec_id, label, vec_id % 2 AS side, [x::DOUBLE FOR x IN embedding] AS v, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY vec_id % 2) AS n FROM embeddings), c AS (SELECT *, pos // ceil(n / least(5, n // 4))::BIGINT AS chunk FROM e)"
 _K = "k AS (SELECT vec_id, d AS radius FROM (SELECT a.vec_id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM c a JOIN c b ON a.chunk = b.chunk AND a.side = b.side) WHERE r = 4)"
 _D = "r AS (SELECT c.*, radius FROM c JOIN k USING (vec_id) WHERE side = 0), f AS (SELECT c.*, radius FROM c JOIN k USING (vec_id) WHERE side = 1), d AS (SELECT r.chunk, r.vec_id AS r, f.vec_id AS f, list_distance(r.v, f.v) AS d, r.radius AS rr, p.radius AS pr FROM r JOIN f USING (chunk) JOIN f p ON p.pos = r.pos)"
 
@@ -124,11 +124,8 @@ WITH {_E}, {_K}, r AS (SELECT c.*, radius FROM c JOIN k USING (vec_id) WHERE sid
 """)
 def prdc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each generated vector: how many balls of real ones hold it."""
-    real = _chunks(spark, sf_dir, 0)
-    balls = real.join(M.radii(real, "chunk", "vec_id", "embedding", 3), ["chunk", "vec_id"]).select("chunk", F.col("embedding").alias("x"), "radius")
-    hit = M.distance(F.col("x"), F.col("embedding")) < F.col("radius")
-    per = _chunks(spark, sf_dir, 1).join(balls, "chunk").groupBy("vec_id").agg(F.count_if(hit).alias("balls"))
-    return per.withColumn("inside", F.col("balls") > 0)
+    per, _ = M.balls(_chunks(spark, sf_dir, 0), _chunks(spark, sf_dir, 1), "chunk", "vec_id", "embedding", 3)
+    return per.select("vec_id", "balls", (F.col("balls") > 0).alias("inside"))
 
 
 @query("""
@@ -149,29 +146,25 @@ def frechet_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retrieval_sql(truth: str) -> str:
-    one = lambda name, q, c: f"SELECT '{name}' AS direction, a.vec_id AS q, list_cosine_similarity(a.v, b.v) AS s, {truth} AS own FROM c a JOIN c b ON a.chunk = b.chunk AND a.side = {q} AND b.side = {c}"
+    one = lambda name, q, c: f"SELECT '{name}' AS direction, a.vec_id AS q, list_cosine_similarity(a.v, b.v) AS s, {truth} AS own FROM c a JOIN c b ON a.side = {q} AND b.side = {c}"
     ks = ", ".join(f"round(100 * avg(CASE WHEN rank < {k} THEN 1 ELSE 0 END), 2) AS r{k}" for k in (1, 2, 3, 5, 10))
     return f"WITH {_E}, s AS ({one('there', 0, 1)} UNION ALL {one('back', 1, 0)}), t AS (SELECT *, max(CASE WHEN own THEN s END) OVER (PARTITION BY direction, q) AS o FROM s), r AS (SELECT direction, q, count_if(s > o) + (count_if(s = o) - 1) / 2 AS rank FROM t WHERE o IS NOT NULL GROUP BY 1, 2) SELECT direction, {ks}, median(rank) + 1 AS median_rank, count(*)::BIGINT AS queries FROM r GROUP BY 1"
 
 
-def _retrieval(spark: SparkSession, sf_dir: str, truth) -> DataFrame:
-    """Even vectors look for their odd partners among the chunk, and the other way."""
-    sides = [_chunks(spark, sf_dir, p).select("chunk", *[F.col(c).alias(f"{c}{p}") for c in ("vec_id", "label", "pos", "embedding")]) for p in (0, 1)]
-    cosine = M.dot(F.col("embedding0"), F.col("embedding1")) / (M.norm(F.col("embedding0")) * M.norm(F.col("embedding1")))
-    pairs = sides[0].join(sides[1], "chunk").select("vec_id0", "vec_id1", cosine.alias("s"), truth.alias("own"))
-    both = [M.retrieval(pairs, f"vec_id{p}", "s", "own").withColumn("direction", F.lit(n)) for p, n in ((0, "there"), (1, "back"))]
-    return both[0].unionByName(both[1])
+def _retrieval(spark: SparkSession, sf_dir: str, label: str | None = None) -> DataFrame:
+    """Even vectors look for their odd partners among all, and the other way."""
+    return M.retrieval(_chunks(spark, sf_dir, 0), _chunks(spark, sf_dir, 1), "vec_id", "embedding", label)
 
 
 @query(_retrieval_sql("a.pos = b.pos"))
 def retrieval_rk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _retrieval(spark, sf_dir, F.col("pos0") == F.col("pos1"))
+    return _retrieval(spark, sf_dir)
 
 
 @query(_retrieval_sql("a.pos = b.pos OR a.label = b.label"))
 def retrieval_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the same label are as good as the partner."""
-    return _retrieval(spark, sf_dir, (F.col("pos0") == F.col("pos1")) | (F.col("label0") == F.col("label1")))
+    return _retrieval(spark, sf_dir, "label")
 
 
 @query()
