@@ -56,17 +56,18 @@ def recovered_knobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.recovered_knob(variants, "p_partkey", "k", error, 0.0, steps=20)
 
 
-_JSON = """json_object('order', l_orderkey, 'focus_ids', {first}, 'shots', to_json(list(json_object('line', l_linenumber, 'primary', l_shipmode, 'parts', json_array(json_object('focus_ids', {second}))) ORDER BY l_linenumber)))"""
+_JSON = """json_object('order', l_orderkey, 'focus_ids', {first}, 'shots', to_json(list(json_object('line', l_linenumber, 'primary', l_shipmode, 'parts', json_array(json_object('focus_ids', {second}))) ORDER BY l_linenumber, l_shipmode, l_returnflag)))"""
 
 
 @query(f"""
-WITH l AS (SELECT l_orderkey, l_linenumber, l_shipmode, [l_shipmode, l_returnflag, 'SHIP'] AS ids FROM lineitem), n AS (SELECT l_orderkey, l_linenumber, l_shipmode, ids, list_filter(ids, lambda x: x NOT IN ('TRUCK', 'MAIL')) AS good FROM l)
+WITH o AS (SELECT *, ['AIR', 'RAIL', 'SHIP', 'TRUCK', 'MAIL', 'FOB', 'REG AIR'][l_partkey % 7 + 1] AS l_shipmode FROM lineitem), l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_shipmode, [l_shipmode, l_returnflag, 'SHIP'] AS ids FROM o), n AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_shipmode, ids, list_filter(ids, lambda x: x NOT IN ('TRUCK', 'MAIL')) AS good FROM l)
 SELECT l_orderkey, {_JSON.format(first="to_json(list_filter(['FOB', min(l_shipmode)], lambda x: x NOT IN ('TRUCK', 'MAIL')))", second="to_json(good)")}::VARCHAR AS document,
  (sum(len(ids) - len(good)) + CASE WHEN min(l_shipmode) IN ('TRUCK', 'MAIL') THEN 1 ELSE 0 END)::BIGINT AS removed, count_if(l_shipmode IN ('TRUCK', 'MAIL'))::BIGINT AS kept FROM n GROUP BY l_orderkey
 """)
 def scrubbed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nested documents, without the ids that name something that is no asset, at any depth."""
-    rows = load(spark, sf_dir, "lineitem")
+    modes = F.array(*map(F.lit, ("AIR", "RAIL", "SHIP", "TRUCK", "MAIL", "FOB", "REG AIR")))
+    rows = load(spark, sf_dir, "lineitem").withColumn("l_shipmode", modes[(F.col("l_partkey") % 7).cast("int")])
     ids = F.array("l_shipmode", "l_returnflag", F.lit("SHIP"))
     shot = F.struct(F.col("l_linenumber").alias("line"), F.col("l_shipmode").alias("primary"), F.array(F.struct(ids.alias("focus_ids"))).alias("parts"))
     orders = rows.groupBy("l_orderkey").agg(F.min("l_shipmode").alias("least"), F.array_sort(F.collect_list(shot)).alias("shots"))
