@@ -132,6 +132,35 @@ def test_pii_long_values_and_addresses(spark):
     assert len(set(h)) == 256 and all(re.fullmatch("[0-9a-f]{2}", x) for x in h)
 
 
+def test_pii_further_forms(spark):
+    made = [
+        ("on 2024/01/15 and 2024-01-15", ["2024/01/15", "2024-01-15"]), ("on 15-01-2024 and 15.01.2024", ["15-01-2024", "15.01.2024"]), ("card 4111.1111.1111.1111 end", ["4111.1111.1111.1111"]), ("SSN 123456789, ssn: 123456789 or 123-45-6789", ["123456789", "123-45-6789"]),
+        ("key ghp_" + "aB3" * 12 + " end", ["aB3aB3"]), ("Authorization: Bearer abcdef.ghijkl-mnopqr_stuv== end", ["abcdef.ghijkl"]), ("call 0044 20 7946 0958 or 030/1234567", ["7946 0958", "1234567"]), ("mail josé.perez@mail.com", ["perez@"]),
+    ]
+    clean = ["ratio 3.1415926535897932", "4111.1111.1111.1112", "no 123456789", "15-13-2024", "2024/13/01", "bearer of bad news", "SSN 000000000", "1/2 or 030/12", "a 00 44 b"]
+    rows = [(i, t) for i, t in enumerate([m[0] for m in made] + clean)]
+    got = table(pii.private_documents(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", s)))
+    for i, (t, values) in enumerate(made):
+        text = got[i]["text"]
+        assert all(v not in text for v in values) and shape(text) == shape(t) and got[i]["n_private"] >= 1, text
+    a, b = re.fullmatch("on (.*) and (.*)", got[0]["text"]).groups()
+    c, d = re.fullmatch("on (.*) and (.*)", got[1]["text"]).groups()
+    assert a.replace("/", "-") == b == "-".join(c.split("-")[::-1]) and c.replace("-", ".") == d
+    assert luhn(got[2]["text"][5:24].replace(".", "")) and len(set(re.findall(r"\d{9}", got[3]["text"].replace("-", "")))) == 1
+    assert got[6]["text"].startswith("call 0044 ") and got[7]["text"].endswith("@mail.com") and got[4]["text"].startswith("key ghp_") and "Bearer " in got[5]["text"]
+    for i, t in enumerate(clean, len(made)):
+        assert got[i]["text"] == t and got[i]["n_private"] == 0, got[i]
+
+
+def test_pii_long_runs_of_groups(spark):
+    card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    rows = [(0, "AB12 " * 20_000 + iban), (1, "7 " * 20_000), (2, "0 " * 300 + card), (3, "12 " * 5_000)]
+    got = table(pii.private_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "k"))
+    assert iban not in got[0]["text"] and card not in got[2]["text"]
+    assert all(len(got[i]["text"]) == len(t) for i, t in rows)
+
+
 # 2
 
 

@@ -5,25 +5,26 @@ What is recognised and how it is permuted:
 
 * cards: 13 to 19 digits, optionally in groups, that pass the Luhn test; payload permuted, check digit recomputed
 * IBANs that pass the mod-97 test: letters and digits of the account part permuted in their classes, check digits recomputed
-* social security numbers in their valid ranges: a bijection of exactly those ranges
-* dates (ISO, dotted, slashed) that exist in the years 1 to 9999: a bijection of the 146,097 days of each cycle of 400
+* social security numbers in their valid ranges, nine digits without dashes too where they are called so: a bijection of
+  exactly those ranges
+* dates (year first with dashes or slashes; day and month first with dots, dashes or slashes) that exist in the years 1 to 9999: a bijection of the 146,097 days of each cycle of 400
   years, from 1800 to 2199 and so on; of slashed dates the month comes first unless the first number is above 12. Strings
   of one shape (digits of day and month, order) map to each other one to one: a day that the shape cannot show is
   permuted again until it can
 * IPv4 addresses with octets up to 255, IPv6 addresses (whole or with ::) and MAC addresses: bijections of all addresses,
   so that two spellings of an IPv6 address get one pseudonym, written without ::
-* telephone numbers with 10 to 15 digits and their usual marks, from 7 digits on after a +: all but the country code
-  permuted
-* e-mail addresses (the part before the @) and secrets (access keys, password/token/secret/api_key assignments):
-  letters and digits permuted in their classes
+* telephone numbers with 10 to 15 digits and their usual marks, after 00 or with a slash behind the area code too, from 7
+  digits on after a +: all but the country code permuted
+* e-mail addresses (the part before the @, letters of any script, of which those of ASCII are permuted) and secrets (access
+  keys, bearer tokens, password/token/secret/api_key assignments): letters and digits permuted in their classes
 
 Cards and IBANs are recognised as whole runs of groups; of a run, the parts between group borders that pass their test are
 replaced (an expiry, a year or a currency beside them stays), and dates, SSNs and telephone numbers in the rest.
 
 Nulls stay null, empty texts stay empty, numbers that fail their validation stay as they are. Texts, e-mail addresses and
 secrets may have any length. Each row is changed by itself, so repeated rows and ids stay as many as they are and an empty
-table stays empty; a column n_private that docs has is replaced. Dates with the month as a word and telephone numbers of
-seven digits without an area code are not told from other text and stay.
+table stays empty; a column n_private that docs has is replaced. Dates with the month as a word, telephone numbers of
+seven digits without an area code and secrets of fewer than eight characters are not told from other text and stay.
 """
 
 from __future__ import annotations
@@ -41,20 +42,22 @@ BEFORE = 72_683  # days of the years 1 to 199
 EDGES = (93, 1567)  # 93 * 1567 = 145,731 days of the years 1 to 199 and 9800 to 9999
 #: Steps after which the search for a day that the shape can show ends; each step finds one with a chance above 0.2.
 WALKS = 400
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
-SECRET = r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?i:(?<!\w)(?:password|passwd|token|secret|api_?key)\s*+[=:]\s*+[\"']?)[A-Za-z0-9_\-./+=]{7,}[A-Za-z0-9_\-/+=]"
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+\-])[\p{L}\p{M}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
+SECRET = r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?<!\w)gh[pousr]_[A-Za-z0-9]{16,}+(?!\w)|(?<!\w)(?i:bearer) [A-Za-z0-9_\-./+~]{15,}[A-Za-z0-9_\-/+~]=*+|(?i:(?<!\w)(?:password|passwd|token|secret|api_?key)\s*+[=:]\s*+[\"']?)[A-Za-z0-9_\-./+=]{7,}[A-Za-z0-9_\-/+=]"
 IBAN = r"(?<!\w)(?=[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11})[A-Z0-9]++(?!\w)(?: [A-Z0-9]++(?!\w|[\-/.@]\w|\s{0,3}[=:]))*+"
 MAC = r"(?<![\w:\-])(?:(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:])|(?=[\d\-]*[A-Fa-f])(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}(?![\w\-]))"
 IPV6 = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){1,7}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:))(?![\w:]|\.\w)"
 IPV4 = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)"
-DATE = r"(?<![\w\-/.])(?:\d{4}-\d{2}-\d{2}(?:(?=T\d)|(?![\w\-/]|\.\d))|(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w\-/]|\.\d))"
+DATE = r"(?<![\w\-/.])(?:\d{4}-\d{2}-\d{2}(?:(?=T\d)|(?![\w\-/]|\.\d))|(?:\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w\-/]|\.\d))"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
+NAMED_SSN = r"(?i:(?<!\w)(?:ssn|social security (?:number|no\.?))[ :#=]{1,3}+)\d{9}(?!\w|-\d)"
+DOTTED_CARD = r"(?<![\w.\-])\d{4}(?:\.\d{4}){3}(?!\w|\.\d)"
 CARD = r"(?<![\w\-])(?=\d(?:[ \-]?\d){12})\d++(?!\w|-(?!\d))(?:[ \-]\d++(?!\w|-(?!\d)|[/.]\d))*+"
 #: Card numbers of the usual issuers: of overlapping parts that pass the Luhn test these come first.
 ISSUED = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3[068]\d{12}|6\d{15,18})$"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .\-])\d{3,4}(?:[ .\-]\d{2,4}){1,2}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, MAC, IPV6, IPV4, DATE, SSN, CARD, PHONE))
-KINDS = ("email", "secret", "iban", "mac", "ipv6", "ipv4", "date", "ssn", "card", "phone")
+PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .\-])\d{3,4}(?:[ .\-]\d{2,4}){1,2}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w+])00\d{1,3}(?:[ .\-]\d{2,4}){3,5}(?!\w)|(?<![\w+/])0\d{2,4}/\d{5,8}(?![\w/])"
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, NAMED_SSN, IBAN, MAC, IPV6, DOTTED_CARD, IPV4, DATE, SSN, CARD, PHONE))
+KINDS = ("email", "secret", "named_ssn", "iban", "mac", "ipv6", "dotted_card", "ipv4", "date", "ssn", "card", "phone")
 
 
 def _pseudorandom(key: str, kind: str, turn: Column, other: Column) -> Column:
@@ -141,7 +144,8 @@ def _other_day(n: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    iso, slash, parts = m.rlike(r"^\d{4}-"), m.contains("/"), F.split(m, r"[\-/.]")
+    iso, slash, parts = m.rlike(r"^\d{4}[\-/]"), m.contains("/"), F.split(m, r"[\-/.]")
+    mark = F.regexp_extract(m, r"[\-/.]", 0)
     day_first = ~slash | (parts[0].cast("int") > 12)
     year = F.when(iso, parts[0]).otherwise(parts[2])
     month = F.when(iso | day_first, parts[1]).otherwise(parts[0])
@@ -151,7 +155,7 @@ def _date(m: Column, key: str) -> Column:
     date = lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), x.cast("int"))
 
     def shown(d: Column) -> Column:
-        return ((F.length(day) > 1) | (F.dayofmonth(d) < 10)) & ((F.length(month) > 1) | (F.month(d) < 10)) & (~slash | ~day_first | (F.dayofmonth(d) > 12))
+        return ((F.length(day) > 1) | (F.dayofmonth(d) < 10)) & ((F.length(month) > 1) | (F.month(d) < 10)) & (iso | ~slash | ~day_first | (F.dayofmonth(d) > 12))
 
     def walk(s: Column, _: Column) -> Column:
         further = let(_other_day(s["n"], key), lambda x: F.struct(x.alias("n"), shown(date(x)).alias("done")))
@@ -160,7 +164,7 @@ def _date(m: Column, key: str) -> Column:
     def text(d: Column) -> Column:
         two = lambda x, old: F.lpad(x.cast("string"), F.length(old), "0")
         y, mo, da = F.lpad(F.year(d).cast("string"), 4, "0"), two(F.month(d), month), two(F.dayofmonth(d), day)
-        return F.when(iso, F.concat_ws("-", y, mo, da)).when(~slash, F.concat_ws(".", da, mo, y)).when(day_first, F.concat_ws("/", da, mo, y)).otherwise(F.concat_ws("/", mo, da, y))
+        return F.when(iso, F.concat(y, mark, mo, mark, da)).when(day_first, F.concat(da, mark, mo, mark, y)).otherwise(F.concat(mo, mark, da, mark, y))
 
     new = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.struct(n.alias("n"), F.lit(False).alias("done")), walk, lambda s: F.when(s["done"], s["n"]))
     return F.when(n >= 0, F.coalesce(let(new, lambda x: text(date(x))), m)).otherwise(m)
@@ -222,6 +226,16 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, let(new, shown)).otherwise(m)
 
 
+def _named_ssn(m: Column, key: str) -> Column:
+    digits = F.substr(m, F.length(m) - 8)
+    dashed = F.concat_ws("-", F.substring(digits, 1, 3), F.substring(digits, 4, 2), F.substring(digits, 6, 4))
+    return F.concat(F.substr(m, F.lit(1), F.length(m) - 9), F.replace(_ssn(dashed, key), F.lit("-"), F.lit("")))
+
+
+def _dotted_card(m: Column, key: str) -> Column:
+    return F.when(luhn_sum(_bare(m)) % 10 == 0, _card(m, key)).otherwise(m)
+
+
 def _card(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
         payload = permute_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
@@ -241,14 +255,14 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-(])", 0)
+    code = F.regexp_extract(m, r"^(?:\+|00)\d{1,3}(?=[ .\-(])", 0)
     code = F.when(code != "", code).otherwise(F.regexp_extract(m, r"^\+\d", 0))
     rest = let(F.substr(m, F.length(code) + 1), lambda r: _refill(r, permute_text(_bare(r), key, "phone")))
     return F.when(F.length(_bare(m)).between(F.when(m.startswith("+"), 7).otherwise(10), F.lit(15)), F.concat(code, rest)).otherwise(m)
 
 
 def _assigned(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^(?:AKIA|[A-Za-z_]+\s*[=:]\s*[\"']?)", 0)
+    head = F.regexp_extract(m, r"^(?:AKIA|gh[pousr]_|(?i:bearer) |[A-Za-z_]+\s*[=:]\s*[\"']?)", 0)
     return F.concat(head, permute_text(F.substr(m, F.length(head) + 1), key, "secret"))
 
 
@@ -256,13 +270,13 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permute_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
 
-PATTERNS = dict(zip(KINDS, (EMAIL, SECRET, IBAN, MAC, IPV6, IPV4, DATE, SSN, CARD, PHONE), strict=True))
-CHANGES = {"email": _email, "secret": _assigned, "iban": _iban, "mac": _mac, "ipv6": _ipv6, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+PATTERNS = dict(zip(KINDS, (EMAIL, SECRET, NAMED_SSN, IBAN, MAC, IPV6, DOTTED_CARD, IPV4, DATE, SSN, CARD, PHONE), strict=True))
+CHANGES = {"email": _email, "secret": _assigned, "named_ssn": _named_ssn, "iban": _iban, "mac": _mac, "ipv6": _ipv6, "dotted_card": _dotted_card, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 #: Runs are recognised before they are cut into parts; of both, the test, the group with the separator before it, the
-#: most groups of a part and the shape of a single number.
+#: least and most characters of a part, what its first group looks like and the shape of a single number.
 RUNS = {
-    "card": (lambda b: F.when(F.length(b).between(13, 19), luhn_sum(b) % 10 == 0).otherwise(F.lit(False)), r"[ \-]?\d+", 19, r"^(?:[ \-]?\d){13,19}$"),
-    "iban": (lambda b: F.when(b.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$"), _mod97(b) == 1).otherwise(F.lit(False)), r" ?[A-Z0-9]+", 34, r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"),
+    "card": (lambda b: luhn_sum(b) % 10 == 0, r"[ \-]?\d+", (13, 19), r"\d$", r"^(?:[ \-]?\d){13,19}$"),
+    "iban": (lambda b: F.when(b.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$"), _mod97(b) == 1).otherwise(F.lit(False)), r" ?[A-Z0-9]+", (15, 34), r"^ ?[A-Z]{2}(?:\d|$)", r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"),
 }
 
 
@@ -293,16 +307,24 @@ def _scanned(t: Column, kinds: tuple[str, ...]) -> Column:
 def _valid_parts(m: Column, kind: str) -> Column:
     """Groups and the valid parts of a run, parts as (rank, short, i, j) from the i-th to the j-th group, best first:
     the whole run, then issued card numbers, then longer parts, then those further left."""
-    valid, token, most, _ = RUNS[kind]
+    valid, token, (least, most), head, _ = RUNS[kind]
 
     def tried(groups: Column) -> Column:
         n = F.size(groups)
 
+        def lengths(i: Column) -> Column:
+            """(j, characters of the groups from the i-th to the j-th) as far as a part can reach, in one pass over them."""
+            near = F.slice(groups, i, F.least(n - i + 1, F.lit(most)))
+            sizes = F.transform(near, lambda g: F.length(_bare(g)))
+            return F.filter(F.transform(sizes, lambda _, k: F.struct((i + k).alias("j"), F.aggregate(F.slice(sizes, 1, k + 1), F.lit(0), lambda s, x: s + x).alias("size"))), lambda c: c["size"].between(least, most))
+
         def one(i: Column, j: Column) -> Column:
             rank = lambda b: F.when((i == 1) & (j == n), 0).when(b.rlike(ISSUED), 1).otherwise(2).alias("rank")
             return let(_bare(F.array_join(F.slice(groups, i, j - i + 1), "")), lambda b: F.struct(rank(b), (-F.length(b)).alias("short"), i.alias("i"), j.alias("j"), valid(b).alias("ok")))
 
-        every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.filter(F.transform(F.sequence(i, F.least(n, i + most - 1)), lambda j: one(i, j)), lambda c: c["ok"])))
+        parts = lambda i: F.filter(F.transform(lengths(i), lambda c: one(i, c["j"])), lambda c: c["ok"])
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(groups, i).rlike(head))
+        every = F.flatten(F.transform(starts, parts))
         return F.struct(groups.alias("groups"), F.array_sort(every).alias("parts"))
 
     return let(F.regexp_extract_all(m, F.lit(token), F.lit(0)), tried)
@@ -318,7 +340,7 @@ def _cut(run: Column, kind: str) -> Column:
 
     groups = run["groups"]
     between = lambda i, j: F.array_join(F.slice(groups, i, j - i + 1), "")
-    single = F.array_join(groups, "").rlike(RUNS[kind][3])
+    single = F.array_join(groups, "").rlike(RUNS[kind][4]) & ~F.element_at(groups, 1).rlike("^00")
 
     def pieces(ks: Column) -> Column:
         n = F.size(ks)
@@ -349,7 +371,7 @@ def private_documents(docs: DataFrame, key: str, text: str = "text") -> DataFram
     columns stay as they are."""
     # most texts hold no digit, @ or assignment: they never reach the patterns
     t = F.col(text)
-    out = docs.withColumn("_pieces", F.when(t.rlike(r"[0-9@=:]"), _scanned(t, KINDS)).otherwise(F.array(_piece("plain", t))))
+    out = docs.withColumn("_pieces", F.when(t.rlike(r"[0-9@=:]|[Bb][Ee][Aa][Rr][Ee][Rr] |gh[pousr]_"), _scanned(t, KINDS)).otherwise(F.array(_piece("plain", t))))
     # a single number that fails its test is no telephone number
     out = _runs_cut(out, "iban")
     out = out.withColumn("_pieces", _each(_each(F.col("_pieces"), "failed", lambda s: _scanned(s, ("card",))), "rest", lambda s: _scanned(s, ("card", "phone"))))
