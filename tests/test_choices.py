@@ -180,11 +180,24 @@ def test_intervals_and_neighbours(spark):
         relations.concatenated({"a": a, "w": w})
 
 
+@pytest.mark.parametrize(("n", "window", "degree"), [(30, 11, 3), (9, 11, 3), (5, 11, 3), (4, 11, 3), (1, 11, 3), (12, 4, 2), (7, 3, 3)])
+def test_smoothing_fits_polynomials_up_to_the_ends(spark, n, window, degree):
+    v = np.random.default_rng(n).normal(size=n).cumsum()
+    got = [x["smooth"] for x in tracks.smoothed(spark.createDataFrame([("e", i, float(x)) for i, x in enumerate(v)], "e string, i int, v double"), "e", ["i"], "v", window, degree).orderBy("i").collect()]
+    w = min(window + 1 - window % 2, n - 1 + n % 2)
+    want = list(v)
+    if w >= degree + 2:
+        for i in range(n):
+            lo = min(max(i - w // 2, 0), n - w)
+            want[i] = np.polyval(np.polyfit(np.arange(w), v[lo : lo + w], degree), i - lo)
+    assert np.allclose(got, want, atol=1e-8)
+
+
 def test_small_functions(spark):
     one = spark.range(1)
     row = one.select(
-        filters.label_tokens(F.lit("WallInner.022")).alias("tokens"), captions.flipped(F.lit("left of upright, up")).alias("flip"), captions.nouns(F.lit("A red car in the old garage, the end."), ["in", "of"]).alias("nouns"),
+        filters.label_tokens(F.lit("WallInner.022")).alias("tokens"), captions.flipped(F.lit("left of upright, up")).alias("flip"), captions.nouns(F.lit("A red car in the old garages, with two berries beside the bus: walking into the meeting of a glass, is the car")).alias("nouns"),
         captions.shortened(F.lit("one two, three"), 8).alias("short"), captions.redacted(F.lit("The 3.5 cats"), ["cats"]).alias("red"), measures.box_distance(*[F.lit(float(x)) for x in (3, 0, 0, 0, 90, 2, 2)]).alias("d"), captions.content_words(F.lit("the the"), ["the"], "it").alias("c"),
     ).first()
-    assert row["tokens"] == ["wall", "inner"] and row["flip"] == "right of upright, down" and row["nouns"] == ["car", "garage", "end"]
+    assert row["tokens"] == ["wall", "inner"] and row["flip"] == "right of upright, down" and row["nouns"] == ["car", "garage", "berry"]
     assert row["short"] == "one two" and row["red"] == "The # [removed]" and abs(row["d"] - 2) < 1e-9 and row["c"] == "it"

@@ -6,11 +6,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def nouns(prompt: Column, prepositions: list[str]) -> Column:
-    """Last words of the phrases that follow an article, up to a preposition, comma or stop; without repeats."""
-    stop = "|".join(prepositions)
-    found = F.regexp_extract_all(F.lower(prompt), F.lit(rf"\b(?:a|an|the)\s+([a-z]+(?:\s[a-z]+)*?)(?=\s(?:{stop})\b|[,.;!?]|\s*$)"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, lambda p: F.element_at(F.split(F.trim(p), r"\s+"), -1)), lambda x: x != ""))
+# Words that a noun phrase stands between, and words that are no nouns.
+ANCHORS = (
+    "a an the of with on in at into from onto over under beside near behind through against between toward towards along across around above below beneath inside outside past"
+).split()
+NON_NOUNS = (
+    "is are was were be being been has have had and or but as by to for that this these those it its their his her him she he they them which while when where "
+    "time moment scene shot video camera frame atmosphere mood expression setting presence sense view focus detail feeling "
+    "set feature part side top front back piece kind amount "
+    "sunlit cozy domestic natural tranquil ongoing focused wooden glass orange snowy striped narrow distant bright dark soft"
+).split()
+ENDINGS = ("ing", "ed", "ion", "ness", "ly")
+
+
+def singular(word: Column) -> Column:
+    """ies to y in words of more than four letters, else a last s off words of more than three, unless they end in ss, us or
+    is."""
+    ies = word.endswith("ies") & (F.length(word) > 4)
+    keeps = word.endswith("ss") | word.endswith("us") | word.endswith("is") | ~word.endswith("s") | (F.length(word) <= 3)
+    return F.when(ies, F.concat(F.substring(word, F.lit(1), F.length(word) - 3), F.lit("y"))).when(keeps, word).otherwise(F.substring(word, F.lit(1), F.length(word) - 1))
+
+
+def nouns(prompt: Column) -> Column:
+    """The heads of a prompt's noun phrases, singular, in order, without repeats: words that aren't anchors or listed
+    non-nouns and that an anchor, or the end of the prompt, follows. Heads that are non-nouns in the singular, have fewer
+    than three letters or an ending of verbs, adverbs and abstract nouns go. Null for null."""
+    among = lambda w, words: F.array_contains(F.array(*map(F.lit, words)), w)
+    words = F.regexp_extract_all(F.lower(prompt), F.lit("[a-z]+"), F.lit(0))
+
+    def heads(ws):
+        ends = lambda i: F.coalesce(among(F.get(ws, i + 1), ANCHORS), F.lit(True))
+        at = F.filter(F.transform(ws, lambda w, i: F.when(~among(w, [*ANCHORS, *NON_NOUNS]) & ends(i), singular(w))), lambda w: w.isNotNull())
+        bad = lambda w: among(w, NON_NOUNS) | (F.length(w) <= 2) | F.exists(F.array(*map(F.lit, ENDINGS)), lambda e: w.endswith(e))
+        return F.array_distinct(F.filter(at, lambda w: ~bad(w)))
+
+    return F.element_at(F.transform(F.array(words), heads), 1)
 
 
 def sentence(parts: list[Column]) -> Column:

@@ -11,11 +11,17 @@ from viaduct.plans.registry import query
 from viaduct.sources.tables import load
 
 
-@query(r"""
-SELECT item_id, array_to_string(list_distinct([x FOR x IN [regexp_split_to_array(trim(p), '\s+')[-1] FOR p IN regexp_extract_all(lower(text) || '.', '\b(?:a|an|the)\s+([a-z]+(?:\s[a-z]+)*?)(?:\s(?:of|in|on|with)\b|[,.;!?])', 1)] IF x <> '']).list_sort(), ',') AS nouns FROM benchmark
+_listed = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(rf"""
+WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS i FROM benchmark), n AS (SELECT *, lead(w) OVER (PARTITION BY item_id ORDER BY i) AS next FROM w),
+h AS (SELECT item_id, i, CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, -3) || 'y' WHEN regexp_matches(w, '(ss|us|is)$') OR w NOT LIKE '%s' OR length(w) <= 3 THEN w ELSE left(w, -1) END AS h FROM n WHERE (next IS NULL OR next IN {_listed(T.ANCHORS)}) AND w NOT IN {_listed(T.ANCHORS)} AND w NOT IN {_listed(T.NON_NOUNS)}),
+f AS (SELECT item_id, h, min(i) AS i FROM h WHERE length(h) > 2 AND h NOT IN {_listed(T.NON_NOUNS)} AND NOT regexp_matches(h, '(ing|ed|ion|ness|ly)$') GROUP BY 1, 2)
+SELECT item_id, coalesce(string_agg(h, ',' ORDER BY i), '') AS nouns FROM benchmark LEFT JOIN f USING (item_id) GROUP BY item_id
 """)
 def prompt_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(T.nouns(F.col("text"), ["of", "in", "on", "with"])), ",").alias("nouns"))
+    return load(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.nouns(F.col("text")), ",").alias("nouns"))
 
 
 @query("""
