@@ -100,8 +100,10 @@ def preset(name: Column, legacy: dict[str, str], aim: Column) -> Column:
 
 
 def redacted(prompt: Column, words: list[str]) -> Column:
-    """Listed words become [removed] and numbers a hash sign."""
-    return F.regexp_replace(F.regexp_replace(prompt, rf"(?i)\b(?:{'|'.join(words)})\b", "[removed]"), r"[0-9]+(?:\.[0-9]+)?", "#")
+    """Listed words, between what are no letters, digits or underscores of any script, become [removed] and numbers a hash
+    sign."""
+    word = r"[\p{L}\p{N}_]"
+    return F.regexp_replace(F.regexp_replace(prompt, rf"(?i)(?<!{word})(?:{'|'.join(words)})(?!{word})", "[removed]"), r"[0-9]+(?:\.[0-9]+)?", "#")
 
 
 def flipped(prompt: Column) -> Column:

@@ -32,10 +32,10 @@ def violations(checks: dict[str, Column]) -> Column:
 def percentile_cuts(rows: DataFrame, value: str, bad: str, cuts: list[float]) -> DataFrame:
     """For each percentile: its value, the share of rows at or below, and the share of bad ones among these."""
     edge = rows.agg(F.percentile(value, F.array(*[F.lit(c) for c in cuts])).alias("e"))
-    edges = edge.select(F.posexplode("e").alias("i", "cut")).withColumn("percent", F.element_at(F.array(*[F.lit(c) for c in cuts]), F.col("i") + 1))
-    met = rows.select(value, bad).crossJoin(F.broadcast(edges))
-    kept = F.col(value) <= F.col("cut")
-    return met.groupBy("percent", "cut").agg(F.avg(kept.cast("int")).alias("kept"), F.avg(F.when(kept, F.col(bad).cast("int"))).alias("bad"))
+    met = rows.select(value, bad).join(F.broadcast(edge))  # one row beside every row: no row is repeated for a cut
+    kept = [F.col(value) <= F.col("e")[i] for i in range(len(cuts))]
+    figures = [F.struct(F.lit(c).alias("percent"), F.first("e")[i].alias("cut"), F.avg(k.cast("int")).alias("kept"), F.avg(F.when(k, F.col(bad).cast("int"))).alias("bad")) for i, (c, k) in enumerate(zip(cuts, kept, strict=True))]
+    return met.agg(F.array(*figures).alias("_f")).select(F.inline("_f"))
 
 
 def weighted_batches(rows: DataFrame, corpus: str, key: Column, weights: dict[str, float], size: int, seed: int = 0) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from viaduct.operators import metrics as M
+
 
 def paired(left: DataFrame, right: DataFrame, on: list[str], value: str) -> DataFrame:
     """Rows of both sides of a key, as left_value and right_value; keys of one side only are left out."""
@@ -69,13 +72,22 @@ def name_match(rows: DataFrame, nodes: DataFrame, group: str, noun: str, label:
 
 
 def identified(clips: DataFrame, library: DataFrame, key: str, name: str, grid: str, top: int) -> DataFrame:
-    """For each clip (a small stated set), the top library entries by distance of their brightness grids: each library
-    row meets the clips once, and only top rows a clip and task go on."""
-    d = F.sqrt(F.aggregate(F.zip_with(F.col(grid), F.col("_g"), lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))
-    met = library.select(name, grid).join(F.broadcast(clips.select(key, F.col(grid).alias("_g"))), F.lit(True))
-    scored = met.select(key, name, d.alias("distance")).withColumn("_salt", F.pmod(F.xxhash64(name), F.lit(64)))
-    first = Window.partitionBy(key, "_salt").orderBy("distance", name)
-    few = scored.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= top)
+    """For each clip the top library entries by distance of their brightness grids. Both sides are packed into tiles; a
+    task compares two tiles and hands on the top entries of each clip in them, so neither side is broadcast."""
+    kinds = clips.schema[key].dataType.simpleString(), library.schema[name].dataType.simpleString()
+    dealt = lambda rows, id_: rows.where(F.col(id_).isNotNull() & F.col(grid).isNotNull()).withColumns({"_g": F.lit(0), "pos": F.monotonically_increasing_id()})
+
+    def packed(rows: DataFrame, id_: str) -> DataFrame:
+        tile = F.floor(F.col("pos") / M.TILE)
+        part = F.struct(F.col(id_).alias("id"), F.col(grid).cast("array<double>").alias("v"))
+        return dealt(rows, id_).groupBy("_g", tile.alias("tile")).agg(F.collect_list(part).alias("_t")).select("_g", "tile", "_t.id", "_t.v")
+
+    def compare(_, x, y, a, b):
+        d = M.distances(a, b)
+        out = [(x["id"][i], y["id"][j], float(d[i, j])) for i in range(len(a)) for j in sorted(range(len(b)), key=lambda j: (d[i, j], y["id"][j]))[:top]]
+        return pd.DataFrame(out, columns=[key, name, "distance"])
+
+    few = M.met(packed(clips, key), packed(library, name), "_g", compare, f"{key} {kinds[0]}, {name} {kinds[1]}, distance double")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", name))
     return few.withColumn("rank", rank).where(F.col("rank") <= top).select(key, name, "distance", "rank")
 

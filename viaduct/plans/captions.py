@@ -69,12 +69,10 @@ def preset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)\b(?:the|and|dans)\b', '[removed]', 'g'), '[0-9]+(?:\.[0-9]+)?', '#', 'g') AS prompt FROM conversations WHERE regexp_matches(text, '^[ -~\s]*$')
+SELECT conv_id, turn, regexp_replace(array_to_string(list_transform(regexp_extract_all(text, '(?s)[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda x: CASE WHEN lower(x) IN ('the', 'and', 'dans') THEN '[removed]' ELSE x END), ''), '[0-9]+(?:\.[0-9]+)?', '#', 'g') AS prompt FROM conversations
 """)
 def redacted_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of plain letters, as word borders mean the same in both engines there."""
-    rows = load(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[ -~\s]*$"))
-    return rows.select("conv_id", "turn", T.redacted(F.col("text"), ["the", "and", "dans"]).alias("prompt"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.redacted(F.col("text"), ["the", "and", "dans"]).alias("prompt"))
 
 
 @query("""
@@ -127,11 +125,12 @@ def move_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment || '=' || least(9, floor(c_acctbal / 1000))::BIGINT)), ';') AS prompts FROM customer WHERE c_acctbal > 9000 GROUP BY 1
+WITH e AS (SELECT c_nationkey, c_mktsegment, arg_max(floor(c_acctbal / 1000)::BIGINT, c_custkey) AS prompt FROM customer GROUP BY 1, 2)
+SELECT c_nationkey, array_to_string(list_sort(list(c_mktsegment || '=' || prompt)), ';') AS prompts FROM e GROUP BY 1
 """)
 def prompt_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One map of targets to prompts for each scene, as text."""
-    rows = load(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_nationkey", "c_mktsegment", F.least(F.lit(9), F.floor(F.col("c_acctbal") / 1000)).cast("string").alias("prompt")).distinct()
+    """One map of targets to prompts for each scene, as text; of several prompts for a target the last counts."""
+    rows = load(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.max_by(F.floor(F.col("c_acctbal") / 1000).cast("string"), "c_custkey").alias("prompt"))
     entries = F.map_entries(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "prompt"))))
     return rows.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"]))), ";").alias("prompts"))
 

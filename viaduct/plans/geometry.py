@@ -32,12 +32,12 @@ def view_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_P}, b AS (SELECT s_nationkey % 10 AS scene, s_suppkey % 50 AS cx, s_suppkey % 40 AS cy, s_suppkey * 7 % 180 AS yaw, 4.0 AS w, 2.0 AS h FROM supplier WHERE s_suppkey < 40),
+WITH {_P}, b AS (SELECT s_nationkey % 10 AS scene, s_suppkey % 50 AS cx, s_suppkey % 40 AS cy, s_suppkey * 7 % 180 AS yaw, 4.0 AS w, 2.0 AS h FROM supplier),
  q AS (SELECT scene, user_id, abs((x - cx) * cos(radians(yaw)) + (y - cy) * sin(radians(yaw))) - w / 2 AS qx, abs((y - cy) * cos(radians(yaw)) - (x - cx) * sin(radians(yaw))) - h / 2 AS qy FROM p JOIN b USING (scene))
 SELECT scene, user_id, round(min({_BOX}), 6) AS clearance, count_if({_BOX} < 0)::BIGINT AS inside FROM q GROUP BY 1, 2
 """)
 def box_clearances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = load(spark, sf_dir, "supplier").where("s_suppkey < 40")
+    s = load(spark, sf_dir, "supplier")
     boxes = s.select((F.col("s_nationkey") % 10).cast("long").alias("scene"), (F.col("s_suppkey") % 50).alias("cx"), (F.col("s_suppkey") % 40).alias("cy"), (F.col("s_suppkey") * 7 % 180).alias("yaw"), F.lit(4.0).alias("w"), F.lit(2.0).alias("h"))
     return rounded(Q.clearances(_points(spark, sf_dir), boxes, "scene", "user_id"), "clearance")
 

@@ -165,29 +165,29 @@ def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as tracks of a nation; the parts that they deliver, folded to 40 cells, as their masks."""
-    lines = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("track"), (F.col("l_partkey") % 40).alias("cell"), "l_quantity").where("l_quantity > 40")
+    """Suppliers as tracks of a nation; the parts that they deliver as their masks."""
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("track"), F.col("l_partkey").alias("cell"), "l_quantity")
     return lines.join(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track"), F.col("s_nationkey").alias("scene")), "track")
 
 
-_TRACKS = "t AS (SELECT DISTINCT s_nationkey AS scene, l_suppkey AS track, l_partkey % 40 AS cell FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 40), n AS (SELECT scene, track, count(*) AS n FROM t GROUP BY 1, 2), e AS (SELECT a.scene, a.track AS a, b.track AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS iou FROM t a JOIN t b ON a.scene = b.scene AND a.cell = b.cell AND a.track < b.track JOIN n x ON x.scene = a.scene AND x.track = a.track JOIN n y ON y.scene = b.scene AND y.track = b.track GROUP BY 1, 2, 3 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.85)"
+_TRACKS = "t AS (SELECT DISTINCT s_nationkey AS scene, l_suppkey AS track, l_partkey AS cell FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), n AS (SELECT scene, track, count(*) AS n FROM t GROUP BY 1, 2), e AS (SELECT a.scene, a.track AS a, b.track AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS iou FROM t a JOIN t b ON a.scene = b.scene AND a.cell = b.cell AND a.track < b.track JOIN n x ON x.scene = a.scene AND x.track = a.track JOIN n y ON y.scene = b.scene AND y.track = b.track GROUP BY 1, 2, 3 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.155)"
 
 
 @query(f"""
 WITH {_TRACKS} SELECT scene, a, b, round(iou, 6) AS iou FROM e
 """)
 def track_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.overlap_edges(_tracks(spark, sf_dir), "scene", "track", "cell", 0.85).withColumn("iou", F.round("iou", 6))
+    return L.overlap_edges(_tracks(spark, sf_dir), "scene", "track", "cell", 0.155).withColumn("iou", F.round("iou", 6))
 
 
 @query(f"""
-WITH RECURSIVE {_TRACKS}, b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT a, a FROM b UNION SELECT r.node, b.b FROM r JOIN b ON r.reach = b.a), c AS (SELECT node AS track, min(reach) AS component FROM r GROUP BY 1), q AS (SELECT l_suppkey AS track, sum(l_quantity) AS score FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
+WITH RECURSIVE {_TRACKS}, b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT a, a FROM b UNION SELECT r.node, b.b FROM r JOIN b ON r.reach = b.a), c AS (SELECT node AS track, min(reach) AS component FROM r GROUP BY 1), q AS (SELECT l_suppkey AS track, sum(l_quantity) AS score FROM lineitem GROUP BY 1)
 SELECT component, arg_min(track, struct_pack(a := -score, b := track))::BIGINT AS representative, count(*)::BIGINT AS members FROM c JOIN q USING (track) GROUP BY 1
 """)
 def track_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks that overlap, as connected components, with the member of the highest score for each."""
     rows = _tracks(spark, sf_dir)
-    found = D.components(L.overlap_edges(rows, "scene", "track", "cell", 0.85)).withColumnRenamed("node", "track")
+    found = D.components(L.overlap_edges(rows, "scene", "track", "cell", 0.155)).withColumnRenamed("node", "track")
     scores = rows.groupBy("track").agg(F.sum("l_quantity").alias("score"))
     return L.representatives(found.join(scores, "track"), "component", "track", [-F.col("score"), F.col("track")])
 
