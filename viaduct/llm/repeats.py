@@ -1,6 +1,8 @@
 """Removal of repeated byte strings, exact: every byte covered by a LENGTH-byte string that also starts elsewhere.
 
-Bucket-pointer refinement of suffixes, spread over the cluster. Not every suffix is sorted: a window of LENGTH bytes
+Refinement of buckets of suffixes, spread over the cluster. In the place of pointers to the buckets of later offsets, a
+bucket is refined by names of what surrounds its suffixes: anchors are so far apart that a window holds two or three, and
+a round on their pointers would tell less than one on whole windows. Not every suffix is sorted: a window of LENGTH bytes
 is represented by its anchor, the suffix in it whose first Q bytes hash least (the leftmost of equals), so equal
 windows have equal anchors at equal places, and about one suffix in 180 is an anchor.
 

@@ -11,7 +11,7 @@ A task returns, for its vectors, how many others they link with and enough links
 at most one for each vector, however many pairs there are.
 
 Vectors that are null, zero, or hold null or non-finite components, and those with a null label, link with nothing;
-neither do vectors of different lengths. Repeated ids are kept as rows of their own only where their vectors differ.
+neither do vectors of different lengths. Repeated rows and ids stay rows of their own, and count as vectors of their own.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(pdf["v"].to_numpy())
-        scaled = v / np.abs(v).max(axis=1, keepdims=True)
+        scaled = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])  # by powers of two, which rounds nothing
         unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
         turned = unit @ shared.value[int(pdf["dim"].iloc[0])]
         a = np.flatnonzero(pdf["first"].to_numpy())
