@@ -17,7 +17,7 @@ def turn(a):
 
 def write(path, data):
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(data if isinstance(data, str) else json.dumps(data))
+    path.write_text(data if isinstance(data, str) else json.dumps(data, indent=1))  # over several lines
 
 
 def test_pose_files_and_estimates(spark, tmp_path):
@@ -170,3 +170,36 @@ def test_listed_keys_are_run_again(spark, tmp_path):
     assert sorted(map(tuple, first.collect())) == [("a", 1, 1), ("b", 2, 2), ("c", 3, 3)]
     again = rounds.rerun(inputs, listed("b", "q"), "k", target, lambda df: df.withColumn("w", 10 * F.col("v")))
     assert sorted(map(tuple, again.collect())) == [("a", 1, 1), ("b", 2, 20), ("c", 3, 3)]
+
+
+def test_actions_cameras_and_manifests(spark, tmp_path):
+    write(tmp_path / "Actions/seq1.txt", "1\t5\twalk \n\nbad line\nx\t6\t9\tturn\tleft\r\n7\t\t8\tsit\nq\tr\ts\n")
+    got = sorted(map(tuple, poses.actions(spark, str(tmp_path / "Actions/*.txt")).collect()), key=lambda r: r[1])
+    assert got == [("seq1", 1, 1, 5, "walk"), ("seq1", 2, 6, 9, "turn\tleft"), ("seq1", 3, 7, 8, "sit"), ("seq1", 4, None, None, "s")]
+    turned = turn(0.5)
+    write(tmp_path / "cam/s/cameras.json", [{"rotation": turned[:3, :3].tolist(), "position": turned[:3, 3].tolist(), "fx": 1.0, "fy": 2.0, "cx": 3.0, "cy": 4.0}])
+    row = poses.cameras(spark, str(tmp_path / "cam/*/cameras.json")).first()
+    assert (row["scene"], row["view"], row["fy"], row["cx"]) == ("s", 0, 2.0, 3.0) and np.allclose(row["w2c"], turned[:3].ravel())
+    for name, data in (("r1/manifest_a01.json", {"video": "v", "n": 1}), ("r1/manifest_a02.json", {"video": "v", "n": 2}), ("r2/manifest_a01.json", {"video": "w"}), ("r2/manifest_a02.json", {"other": 1}), ("r2/manifest_a03.json", "{")):
+        write(tmp_path / "work" / name, data)
+    got = {r["video"]: (r["recording"], r["chunk"], json.loads(r["manifest"]).get("n")) for r in poses.manifests(spark, str(tmp_path / "work")).collect()}
+    assert got == {"v": ("r1", "02", 2), "w": ("r2", "01", None)}
+
+
+def test_shots_with_reasons(spark, tmp_path):
+    def shot(name, n=3, first=1, mats=None, caption='{"a": 1}', raw=None):
+        frames = [{"monst3r_im_id": first + i, "transform_matrix": (mats or [turn(j) for j in range(n)])[i].tolist()} for i in range(n)]
+        write(tmp_path / f"{name}_transforms_cleaning.json", raw or {"frames": frames})
+        if caption:
+            write(tmp_path / f"{name}_caption.json", caption)
+
+    shot("a/good")
+    shot("a/few", n=2)
+    shot("b/ids", first=0)
+    shot("b/bad", mats=[turn(0), turn(0), turn(0) * np.nan])
+    shot("b/cap", caption=None)
+    shot("b/raw", raw="no")
+    got = {r["shot"].rpartition("/")[2]: r for r in poses.shots(spark, str(tmp_path), 3).collect()}
+    assert {k: r["reason"] for k, r in got.items()} == {"good": None, "few": "frames", "ids": "ids", "bad": "poses", "cap": "caption", "raw": "unreadable"}
+    c = np.array([turn(j)[:3, 3] for j in range(3)])
+    assert got["good"]["ok"] and np.isclose(got["good"]["mean_disp"], np.linalg.norm(c - c[0], axis=1).mean()) and json.loads(got["good"]["caption"]) == {"a": 1}

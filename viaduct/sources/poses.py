@@ -23,7 +23,7 @@ def folder(path: Column, up: int = 1) -> Column:
 
 def whole(spark: SparkSession, paths) -> DataFrame:
     """path and value (the whole text) of JSON files, a row a file."""
-    return spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def binary(spark: SparkSession, paths) -> DataFrame:
@@ -165,9 +165,58 @@ def resolved(spark: SparkSession, spec: str | None, known: DataFrame, key: str)
 def captions(spark: SparkSession, root: str, name: str = "prompts.json", field: str = "concise") -> DataFrame:
     """scene, key, caption of caption files one or two folders below root. No file at all is an error; a file that can't be
     parsed is left out."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+    text = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
     text = text.select(F.col("_metadata.file_path").alias("path"), "value")
     if text.isEmpty():
         raise FileNotFoundError(f"no {name} below {root}")
     entries = text.select(folder(F.col("path")).alias("scene"), F.from_json("value", f"map<string, struct<{field}: string>>").alias("m"))
     return entries.select("scene", F.explode("m").alias("key", "e")).select("scene", "key", F.col(f"e.{field}").alias("caption")).where("caption IS NOT NULL")
+
+
+def actions(spark: SparkSession, paths) -> DataFrame:
+    """sequence (the file's name), id (1, 2, ... among its good lines), start, end, text of files of tab-separated lines:
+    start, end, text, or something, start, end, text (which may hold tabs). Empty fields don't count; other lines are left
+    out, and numbers that aren't any are null."""
+    lines = F.transform(F.split("value", "\n"), lambda x: F.filter(F.split(F.regexp_replace(x, "\r$", ""), "\t"), lambda p: p != ""))
+    good = F.filter(lines, lambda p: F.size(p) >= 3)
+    parsed = whole(spark, paths).select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("sequence"), F.posexplode(good).alias("_i", "p"))
+    four = (F.size("p") > 3).cast("int")
+    field = lambda i: F.get("p", four + i)
+    return parsed.select("sequence", (F.col("_i") + 1).alias("id"), field(0).try_cast("int").alias("start"), field(1).try_cast("int").alias("end"), F.trim(F.array_join(F.slice("p", four + 3, F.size("p")), "\t")).alias("text"))
+
+
+def cameras(spark: SparkSession, paths) -> DataFrame:
+    """scene (the file's folder), view (its place), w2c, fx, fy, cx, cy of JSON files that hold a list of cameras with
+    rotation and position (both of w2c)."""
+    schema = "array<struct<rotation: array<array<double>>, position: array<double>, fx: double, fy: double, cx: double, cy: double>>"
+    parsed = whole(spark, paths).select(folder(F.col("path")).alias("scene"), F.posexplode(F.from_json("value", schema)).alias("view", "c"))
+    return parsed.select("scene", "view", R.pose_of(F.flatten("c.rotation"), F.col("c.position")).alias("w2c"), "c.fx", "c.fy", "c.cx", "c.cy")
+
+
+def manifests(spark: SparkSession, root: str) -> DataFrame:
+    """video, recording (the folder), chunk (from the name manifest_aNN.json), manifest (the text) of the manifests below
+    root; of one video's the last by recording and chunk. Files that aren't JSON or name no video are left out."""
+    text = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="manifest_a*.json")
+    parsed = text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("manifest"), F.from_json("value", "video string").alias("j"))
+    named = parsed.select(F.nullif(F.trim("j.video"), F.lit("")).alias("video"), folder(F.col("path")).alias("recording"), F.regexp_extract("path", r"manifest_a([^/]*)\.json$", 1).alias("chunk"), "manifest").where("video IS NOT NULL")
+    last = F.max_by(F.struct("recording", "chunk", "manifest"), F.struct("recording", "chunk")).alias("_m")
+    return named.groupBy("video").agg(last).select("video", "_m.*")
+
+
+def shots(spark: SparkSession, root: str, poses: int = 120) -> DataFrame:
+    """shot (the path before _transforms_cleaning.json), ok, reason, mean_disp (mean distance of the centres from the first)
+    and caption of all shots below root. A shot is out, with the first reason that holds: unreadable, frames (not as many as
+    poses), ids (of its frames not 1, 2, ...), poses (not finite), caption (none)."""
+    read = lambda name: spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{name}").select(F.regexp_extract(F.col("_metadata.file_path"), rf"^(.*){name}$", 1).alias("shot"), "value")
+    schema = "frames array<struct<monst3r_im_id: int, transform_matrix: array<array<double>>>>"
+    rows = read("_transforms_cleaning.json").select("shot", F.from_json("value", schema)["frames"].alias("f"))
+    rows = rows.join(read("_caption.json").select("shot", F.col("value").alias("caption")), "shot", "left")
+    flat = F.flatten(F.flatten(F.transform("f", lambda x: x["transform_matrix"])))
+    wrong = F.exists(flat, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.exists("f", lambda x: x["transform_matrix"].isNull())
+    ids = F.transform("f", lambda x: x["monst3r_im_id"]) != F.sequence(F.lit(1), F.lit(poses))
+    why = F.when(F.col("f").isNull(), "unreadable").when(F.size("f") != poses, "frames").when(F.coalesce(ids, F.lit(True)), "ids").when(wrong, "poses").when(F.try_parse_json("caption").isNull(), "caption")
+    centre = lambda x: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: x["transform_matrix"][i][3])
+    far = lambda c: F.sqrt(F.aggregate(F.zip_with(c, centre(F.col("f")[0]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    mean = F.aggregate(F.transform("f", lambda x: far(centre(x))), F.lit(0.0), lambda s, v: s + v) / F.size("f")
+    judged = rows.withColumn("reason", why)
+    return judged.select("shot", F.col("reason").isNull().alias("ok"), "reason", F.when(F.col("reason").isNull(), mean).alias("mean_disp"), F.when(F.col("reason").isNull(), F.col("caption")).alias("caption"))

@@ -43,7 +43,7 @@ def blacklist(spark: SparkSession, path: str, columns: tuple[str, ...] = ("scene
 
 def nested_map(spark: SparkSession, paths, value_schema: str) -> DataFrame:
     """Files that hold one JSON map each: path, key and the entry's fields."""
-    text = spark.read.option("wholetext", True).text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    text = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return text.select("path", F.explode(F.from_json("value", f"map<string,struct<{value_schema}>>")).alias("key", "entry")).select("path", "key", "entry.*")
 
 
