@@ -39,7 +39,8 @@ def moments(rows: DataFrame, group: str, vector: str) -> DataFrame:
             if len(held) > 256:  # groups beyond a task's memory go out as they are
                 yield frame(held)
                 held = {}
-        yield frame(held)
+        if held:
+            yield frame(held)
 
     def frame(held):
         return pd.DataFrame({group: list(held), "n": [h[0] for h in held.values()], "total": [h[1] for h in held.values()], "products": [h[2].ravel() for h in held.values()]})

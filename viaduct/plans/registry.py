@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from viaduct.plans import aggregates, audits, cameras, captions, choices, clouds, corpus, filters, geometry, grouped, joins, picks, records, relations, series, solving, statistics, texts, tracks  # noqa: F401  they register their queries
+    from viaduct.plans import aggregates, audits, cameras, captions, choices, clouds, corpus, filters, geometry, grouped, joins, paths, picks, records, relations, series, solving, statistics, texts, tracks  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
