@@ -17,12 +17,6 @@ def test_viterbi_is_the_best_path():
     assert G.viterbi_path(np.array([]), np.array([])) == [] and G.viterbi_path(np.array([0.0]), np.array([1.0])) == [0]
 
 
-def test_farthest_and_cover():
-    assert G.farthest(np.array([[0.0], [1.0], [10.0], [4.0]]), 3) == [0, 2, 3]
-    assert G.farthest(np.zeros((3, 2)), 3) == [0] and G.farthest(np.zeros((0, 2)), 2) == []
-    assert G.cover([{1, 2}, {2, 3, 4}, {5}, {1, 5}], 3) == [1, 3] and G.cover([], 2) == []
-
-
 def test_activity_steps():
     active = np.array([0] * 5 + [1] * 8 + [0] * 7 + [1] * 8)
     assert G.activity(active, 8, 0.9) == [(5, 13)] and G.activity(active, 8, 0.75) == [(5, 13), (18, 26)]

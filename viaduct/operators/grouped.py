@@ -37,34 +37,6 @@ def viterbi_turns(rows: DataFrame, group: str, order: str, evidence: str, penalt
     return rows.select(group, order, evidence, penalty).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {order} {kinds[order]}, speaker int")
 
 
-def farthest(points: np.ndarray, k: int, start: int = 0) -> list[int]:
-    """Farthest-point sampling: the next point is the one farthest from all picked, the first of equals."""
-    if not len(points):
-        return []
-    picked, d = [start], np.linalg.norm(points - points[start], axis=1)
-    while len(picked) < min(k, len(points)):
-        i = int(d.argmax())
-        if d[i] <= 0:
-            break
-        picked.append(i)
-        d = np.minimum(d, np.linalg.norm(points - points[i], axis=1))
-    return picked
-
-
-def cover(sets: list[set], k: int) -> list[int]:
-    """Greedy maximum coverage: up to k sets, each adding most new elements, the first of equals; stops at no gain."""
-    picked: list[int] = []
-    seen: set = set()
-    while len(picked) < k:
-        gain = [-1 if i in picked else len(s - seen) for i, s in enumerate(sets)]
-        best = max(range(len(sets)), key=lambda i: gain[i], default=0)
-        if not sets or gain[best] <= 0:
-            break
-        picked.append(best)
-        seen |= sets[best]
-    return picked
-
-
 def activity(active: np.ndarray, span: int, share: float, miss: int = 5) -> list[tuple[int, int]]:
     """Windows [start, start + span) whose active share reaches share: a hit goes on after it, a miss by miss frames."""
     total, out, at = np.append(0, np.cumsum(active)), [], 0

@@ -42,14 +42,21 @@ def caption_shortening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select("item_id", T.shortened(F.col("text"), 60).alias("short"))
 
 
-@query("""
-WITH v AS (SELECT p_partkey, ['go', 'carry', 'push', 'have', 'move', 'see'][p_partkey % 6 + 1] AS verb FROM part)
-SELECT p_partkey, CASE verb WHEN 'have' THEN 'has' WHEN 'go' THEN 'goes' WHEN 'push' THEN 'pushes' WHEN 'carry' THEN 'carries' ELSE verb || 's' END AS third, CASE verb WHEN 'have' THEN 'having' WHEN 'move' THEN 'moving' ELSE verb || 'ing' END AS gerund FROM v
+#: Verbs that follow no rule, by third person and by gerund.
+_THIRD, _GERUND = {"have": "has", "be": "is", "do": "does"}, {"lie": "lying", "be": "being", "run": "running", "sit": "sitting", "put": "putting"}
+
+
+@query(r"""
+WITH v AS (SELECT DISTINCT w AS verb FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM documents WHERE lang = 'en' UNION ALL SELECT unnest(['have', 'be', 'do', 'lie', 'run', 'sit', 'put'])))
+SELECT verb, CASE WHEN verb = 'have' THEN 'has' WHEN verb = 'be' THEN 'is' WHEN verb = 'do' THEN 'does' WHEN regexp_matches(verb, '(s|x|ch|sh|o)$') THEN verb || 'es' WHEN regexp_matches(verb, '[^aeiou]y$') THEN left(verb, -1) || 'ies' ELSE verb || 's' END AS third,
+ CASE verb WHEN 'lie' THEN 'lying' WHEN 'be' THEN 'being' WHEN 'run' THEN 'running' WHEN 'sit' THEN 'sitting' WHEN 'put' THEN 'putting' ELSE CASE WHEN regexp_matches(verb, '[^eoy]e$') THEN left(verb, -1) ELSE verb END || 'ing' END AS gerund FROM v
 """)
 def verb_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verb = F.element_at(F.array(*[F.lit(v) for v in ("go", "carry", "push", "have", "move", "see")]), (F.col("p_partkey") % 6 + 1).cast("int"))
-    rows = load(spark, sf_dir, "part").select("p_partkey", verb.alias("v"))
-    return rows.select("p_partkey", T.third_person(F.col("v"), {"have": "has"}).alias("third"), T.gerund(F.col("v"), {}).alias("gerund"))
+    """Every word of the English texts as if it were a verb, and some that follow no rule, in both forms."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))
+    rows = load(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(words).alias("verb"))
+    rows = rows.unionByName(spark.createDataFrame([(v,) for v in sorted(_THIRD | _GERUND)], "verb string")).distinct()
+    return rows.select("verb", T.third_person(F.col("verb"), _THIRD).alias("third"), T.gerund(F.col("verb"), _GERUND).alias("gerund"))
 
 
 @query("""
