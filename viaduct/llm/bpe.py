@@ -9,6 +9,9 @@ All new pre-tokens of about three megabytes of texts share one queue: their list
 merged together. Within a pre-token, positions of one rank that overlap merge from the left. A pre-token in which a
 merge makes a pair of a lower rank while others of its rank wait goes one by one (merge), as that order then matters.
 Pre-tokens that recur in a task are encoded once and remembered, up to a bounded size.
+
+Null texts are encoded as empty; repeated or null ids stay rows of their own, and columns other than id and text are not
+looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations

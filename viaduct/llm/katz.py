@@ -12,6 +12,9 @@ hashed n-grams once for each of its distinct n-grams, with its own training coun
 blocks, and answers them (so a word in every document is one request of a block, not one of each document). With the
 answers a block finds probabilities, and asks in the same way for the backoff weights that it needs. n-grams are named
 by 64-bit hashes (two of n different n-grams share a name with probability n^2 / 2^65: 1 in 10,000 for 50 million).
+
+Null and empty texts are the end token alone; repeated or null ids stay rows of their own, each counted and scored. Columns
+other than id and text are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ source's taken tokens are its rounded target. A document's `taken` is the tokens
 Offsets and ranks come from two-level prefix sums (hash buckets, slot ranges), so a source with a third of all rows is
 spread over as many tasks as any other. What is one row per source (names, sizes, targets) is worked on the driver:
 it is bounded by SOURCES_AT_MOST, beyond which the operator refuses.
+
+Null texts have no word and take nothing; a null source is a source of its own, the last one. Repeated or null ids are
+documents of their own, equal rows too; an empty table gives no rows. Columns other than the four are not looked at.
 """
 
 from __future__ import annotations

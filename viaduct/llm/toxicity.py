@@ -9,6 +9,9 @@ The lexicons hold what occurs in at least LEAST toxic texts and LIFT times as of
 texts. Lexicons, trees and calibration are fitted on at most about SAMPLE labelled texts, chosen by a hash of their
 id; a fifth of them, by another hash, is kept for the calibration alone. Null texts are empty; every text gets a score.
 Without labels of both classes the score is the share of toxic labels (0 without labels).
+
+Several labels of one id count as toxic if any is; rows that share an id share the label and each get their score, and a
+row without an id is scored, never learned from. Whole texts are scored whatever their length; other columns are left out.
 """
 
 from __future__ import annotations
