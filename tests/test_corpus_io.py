@@ -56,17 +56,18 @@ def test_banks_and_their_faults(spark, tmp_path):
     def bank(name, ids, pose_ids):
         write(tmp_path / f"{name}/bank.json", {"variants": [{"variant_id": i, "knob": 0.5, "more": {"x": 1}} for i in ids]})
         if pose_ids is not None:
-            np.savez(tmp_path / name / "poses.npz", cam_c2w=np.arange(len(pose_ids) * 8.0).reshape(len(pose_ids), 2, 4), variant_id=np.array(pose_ids))
+            np.savez(tmp_path / name / "poses.npz", cam_c2w=np.arange(len(pose_ids) * 8.0).reshape(len(pose_ids), 2, 4), variant_id=np.array(pose_ids, dtype=str))
 
     bank("good", ["a", "b"], ["a", "b"])
     bank("order", ["a", "b"], ["b", "a"])
     bank("rows", ["a", "b"], ["a"])
     bank("half", ["a"], None)
+    bank("none", ["a"], [])
     rows, faults = poses.banks(spark, str(tmp_path))
     got = rows.orderBy("pos").collect()
     assert [(r["bank"].rpartition("/")[2], r["variant_id"], r["c2w"], r["variant"]["knob"]) for r in got] == [("good", "a", list(np.arange(8.0)), "0.5"), ("good", "b", list(np.arange(8.0, 16)), "0.5")]
     assert json.loads(got[0]["variant"]["more"]) == {"x": 1}
-    assert {r["bank"].rpartition("/")[2]: r["reason"] for r in faults.collect()} == {"order": "order", "rows": "rows", "half": "missing"}
+    assert {r["bank"].rpartition("/")[2]: r["reason"] for r in faults.collect()} == {"order": "order", "rows": "rows", "half": "missing", "none": "missing"}
 
 
 def test_masks_tracks_and_lists(spark, tmp_path):
@@ -75,6 +76,8 @@ def test_masks_tracks_and_lists(spark, tmp_path):
     np.savez(tmp_path / "m.npz", masks=np.packbits(masks, axis=-1))
     got = {(r["item"], r["row"]): list(r["on"]) for r in poses.packed_bits(spark, str(tmp_path / "m.npz"), "masks", 11).collect()}
     assert got == {(i, j): list(np.flatnonzero(masks[i, j])) for i in range(2) for j in range(5) if masks[i, j].any()}
+    np.savez(tmp_path / "none.npz", masks=np.zeros((2, 3, 2), dtype=np.uint8), extrinsics=np.zeros((0, 3, 4)))
+    assert poses.packed_bits(spark, str(tmp_path / "none.npz"), "masks", 11).count() == 0 and poses.estimated(spark, str(tmp_path / "none.npz"), 1).count() == 0
     write(tmp_path / "b/v/meta.json", {"frames": [[], [{"id": 7, "keyword": "cup", "score": 0.5, "box_xyxy": [0, 1, 2, 3]}, {"id": 1, "keyword": "man", "score": 1, "box_xyxy": []}]]})
     assert sorted((r["bundle"], r["frame"], r["slot"], r["track"], r["keyword"]) for r in poses.tracks(spark, str(tmp_path / "b/*/meta.json")).collect()) == [("v", 1, 0, 7, "cup"), ("v", 1, 1, 1, "man")]
     assert sorted(r["scene"] for r in poses.scene_list(spark, str(tmp_path), "meta.json").collect()) == ["b/v"]

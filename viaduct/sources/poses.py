@@ -63,7 +63,8 @@ def estimated(spark: SparkSession, paths, up: int = 2) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 with np.load(io.BytesIO(content)) as z:
                     a = np.asarray(z["extrinsics"], dtype=float)[:, :3, :4].reshape(-1, 12)
-                yield pd.DataFrame({"path": path, "frame": np.arange(len(a)), "w2c": list(a)})
+                if len(a):
+                    yield pd.DataFrame({"path": path, "frame": np.arange(len(a)), "w2c": list(a)})
 
     rows = binary(spark, paths).mapInPandas(unpack, "path string, frame int, w2c array<double>")
     return rows.select(folder(F.col("path"), up).alias("scene"), "frame", "w2c")
@@ -97,6 +98,8 @@ def banks(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
             for bank, content in zip(pdf["bank"], pdf["content"], strict=True):
                 with np.load(io.BytesIO(content)) as z:
                     a, ids = np.asarray(z["cam_c2w"], dtype=float), [str(v) for v in z["variant_id"]]
+                if not len(a):
+                    continue
                 flat = a.reshape(len(a), -1)
                 yield pd.DataFrame({"bank": bank, "pos": np.arange(len(a)), "pose_id": ids[: len(a)] + [None] * (len(a) - len(ids)), "c2w": list(flat)})
 
@@ -121,6 +124,8 @@ def packed_bits(spark: SparkSession, paths, name: str, width: int) -> DataFrame:
                 for item, packed in enumerate(a):
                     bits = np.unpackbits(packed, axis=-1)[:, :width]
                     rows = np.flatnonzero(bits.any(axis=1))
+                    if not len(rows):
+                        continue
                     yield pd.DataFrame({"path": path, "item": item, "row": rows, "on": [np.flatnonzero(bits[r]) for r in rows]})
 
     return binary(spark, paths).mapInPandas(unpack, "path string, item int, row int, on array<int>")

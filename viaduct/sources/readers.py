@@ -56,7 +56,10 @@ def packed_arrays(spark: SparkSession, paths, name: str) -> DataFrame:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 with np.load(io.BytesIO(content)) as z:
-                    a = np.asarray(z[name], dtype=float).reshape(len(z[name]), -1)
+                    a = np.asarray(z[name], dtype=float)
+                if not len(a):
+                    continue
+                a = a.reshape(len(a), -1)
                 yield pd.DataFrame({"path": path, "pos": range(len(a)), "row": list(a)})
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(unpack, "path string, pos long, row array<double>")
