@@ -170,6 +170,14 @@ def test_places_and_components(spark):
     assert dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tracks_that_share_few_cells_are_pairs_too(spark, tmp_path):
+    # 1 and 2 share one cell of 19; 3 shares none with them, though it would modulo 40; 4 is of another nation
+    lines = [(1, p, 10.0) for p in range(10)] + [(2, p, 50.0) for p in range(9, 19)] + [(3, p, 50.0) for p in range(40, 50)] + [(4, p, 50.0) for p in range(10)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 8)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [tuple(x) for x in registry.queries()["track_overlaps"](spark, str(tmp_path)).collect()] == [(7, 1, 2, round(1 / 19, 6))]
+
+
 def test_intervals_and_neighbours(spark):
     a = spark.createDataFrame([(1, 0.0, 5.0), (1, 9.0, 30.0), (2, 0.0, 1.0)], "k int, start double, end double")
     w = spark.createDataFrame([(1, 4.0, 10.0), (1, 31.0, 32.0), (2, 1.0, 2.0)], "k int, from double, until double")

@@ -140,7 +140,7 @@ def mismatches(left: DataFrame, right: DataFrame, key: str, columns: list[str])
     return l.join(r, key, "full_outer").agg(F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNull()).alias("only_right"), *differ)
 
 
-def overlap_edges(sets: DataFrame, group: str, track: str, element: str, least: float) -> DataFrame:
+def overlap_edges(sets: DataFrame, group: str, track: str, element: str, least: float = 0.0) -> DataFrame:
     """Edges (group, a, b, iou) of tracks of one group whose element sets overlap by IoU least or more. Tracks meet only
     over common elements, and elements of a track are distinct."""
     rows = sets.select(group, track, element).distinct()
