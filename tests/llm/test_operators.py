@@ -5,14 +5,16 @@ import hashlib
 import ipaddress
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from viaduct.llm import bpe, fingerprints, katz, languages, mixing, neardup, pii, repeats, toxicity, vectors
+from viaduct.llm import bpe, fingerprints, katz, languages, mixing, neardup, pii, repeats, shared, toxicity, vectors
 from viaduct.llm.shared import components, remainder
 
 
@@ -425,6 +427,18 @@ def test_katz_scores(docs, no_docs, rows):
     assert katz.score_documents(docs, F.lit(False)).count() == len(rows)
 
 
+def test_katz_drops_shuffle_files_without_garbage_collection(spark, rows, monkeypatch):
+    for module in (katz, shared):
+        monkeypatch.setattr(module, "collected", lambda _: None)
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f: f.stat().st_size for d in folders for f in Path(d).glob("*/shuffle_*.data")}
+    before = files()
+    scored = katz.score_documents(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), F.lit(True))
+    time.sleep(1)  # Spark deletes them beside the driver's next steps
+    assert all(size < 1000 for f, size in files().items() if f not in before)  # the sums over all rows are small ones
+    assert scored.count() == len(rows)
+
+
 # 9
 
 

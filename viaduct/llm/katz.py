@@ -180,7 +180,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 lengths = np.packbits(flags[lo:hi]).tobytes() + pack((counts + 1).astype(np.int32))
                 yield _rows([(_BLOCK, name, -1, pack(known) + absent, lengths, steps(vocabulary), squeeze(numbers.astype(np.int32)))])
 
-    blocks = table(rows.mapInArrow(gather, SCHEMA))
+    blocks = table(rows.mapInArrow(gather, SCHEMA), drop_shuffles=True)
 
     def ask(batches):
         """Each block's distinct n-grams by shard, with its own training counts; for words, also those of the other texts."""
@@ -225,7 +225,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         out.append((_STATS, -1, kind, stats.tobytes(), None, None, None))
         return pa.Table.from_batches([_rows(out)])
 
-    answers = table(blocks.mapInArrow(ask, SCHEMA).groupBy("kind", "shard").applyInArrow(add_up, SCHEMA))
+    answers = table(blocks.mapInArrow(ask, SCHEMA).groupBy("kind", "shard").applyInArrow(add_up, SCHEMA), drop_shuffles=True)
     collected(spark)
     told = answers.where(F.col("kind") == _STATS).select("shard", "x").toPandas()  # a few longs from each shard
     sums = {k: sum((np.frombuffer(x, np.int64) for x in told.x[told.shard == k]), np.zeros(K + 3, np.int64)) for k in (_WORDS, _PAIRS)}
@@ -278,7 +278,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         out.append((_SCORED, mine["block"], -1, mine["x"], mine["y"][:skip], fixed, zstandard.ZstdCompressor(level=1).compress(pack(cells) + pack(times.astype(np.int32)))))
         return pa.Table.from_batches([_rows(out)])
 
-    weighed = table(blocks.union(answers.where(F.col("kind").isin(_WORDS, _PAIRS))).groupBy("block").applyInArrow(weigh, SCHEMA))
+    weighed = table(blocks.union(answers.where(F.col("kind").isin(_WORDS, _PAIRS))).groupBy("block").applyInArrow(weigh, SCHEMA), drop_shuffles=True)
     release(blocks, answers)
 
     def back_off(group: pa.Table) -> pa.Table:
