@@ -50,3 +50,9 @@ def test_view_angles_on_the_target_itself(agrees):
     rows = events([(1, 40.0 if i in (25, 75) else i * 7.77) for i in range(80)])
     got = {r["event_id"]: r["view"] for r in agrees("view_angles", events=rows)}
     assert got[25] == got[75] == 144.0
+
+
+def test_separated_pairs_on_the_border(agrees):
+    keys = [0, 3, 6, 9, 12, 15]
+    rows = pd.DataFrame({"s_suppkey": keys, "s_nationkey": [1, 1, 2, 2, 3, 3], "s_acctbal": [521.3, 481.3, -287.65, -247.65, 288.78, 248.78]}).astype({"s_nationkey": "int32"})
+    agrees("separated_pairs", supplier=rows)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from viaduct.functions.measures import turn_gap
+
 
 def draw(seed: str, *key: Column | str) -> Column:
     """A text that orders rows at random but the same in every run."""
@@ -130,8 +132,7 @@ def quotas(rows: DataFrame, scene: str, id_: str, moving: Column, score: str, mo
 
 def separated(radius_a: Column, azimuth_a: Column, radius_b: Column, azimuth_b: Column, least: float) -> Column:
     """Different radii, or azimuths at least so many degrees apart around the circle."""
-    gap = F.abs(F.pmod(azimuth_a - azimuth_b + 180, F.lit(360.0)) - 180)
-    return ~radius_a.eqNullSafe(radius_b) | (gap >= least)
+    return ~radius_a.eqNullSafe(radius_b) | (turn_gap(azimuth_a, azimuth_b) >= least)
 
 
 def expanded(cameras: DataFrame, candidates: DataFrame, scene: str, camera: str, candidate: str, at: str, far: float, count: int, seed: str) -> DataFrame:
