@@ -56,3 +56,9 @@ def test_separated_pairs_on_the_border(agrees):
     keys = [0, 3, 6, 9, 12, 15]
     rows = pd.DataFrame({"s_suppkey": keys, "s_nationkey": [1, 1, 2, 2, 3, 3], "s_acctbal": [521.3, 481.3, -287.65, -247.65, 288.78, 248.78]}).astype({"s_nationkey": "int32"})
     agrees("separated_pairs", supplier=rows)
+
+
+def test_rotation_vectors_of_half_turns(agrees):
+    rows = [(5.0, 61740.0, 0.07, 0.04), (36.0, 83700.0, 0.09, 0.07), (19.0, 78300.0, 0.05, 0.05), (25.0, 61740.0, 0.01, 0.04), (25.0, 61740.0, 0.05, 0.04), (1.0, 61739.99, 0.0, 0.08), (1.0, 61740.01, 0.0, 0.08)]
+    lines = pd.DataFrame(rows, columns=["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    agrees("rotation_vectors", lineitem=lines.assign(l_orderkey=range(len(rows)), l_linenumber=1))
