@@ -62,3 +62,10 @@ def test_rotation_vectors_of_half_turns(agrees):
     rows = [(5.0, 61740.0, 0.07, 0.04), (36.0, 83700.0, 0.09, 0.07), (19.0, 78300.0, 0.05, 0.05), (25.0, 61740.0, 0.01, 0.04), (25.0, 61740.0, 0.05, 0.04), (1.0, 61739.99, 0.0, 0.08), (1.0, 61740.01, 0.0, 0.08)]
     lines = pd.DataFrame(rows, columns=["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     agrees("rotation_vectors", lineitem=lines.assign(l_orderkey=range(len(rows)), l_linenumber=1))
+
+
+def test_resampled_paths_between_half_turns(agrees):
+    prices = {481: [115175.34, 84156.53, 131279.5, 141994.68, 381587.2, 158596.26, 310414.58], 1331: [499787.5, 135575.34, 305470.02, 146380.89, 145984.56, 156351.5], 2192: [372772.98, 412002.78, 191361.76, 249852.97, 62472.69, 443830.5, 257826.72, 199010.9, 492005.38]}
+    keys = {481: [7644, 48048, 67111, 81638, 106455, 108561, 143413], 1331: [85083, 85649, 100563, 100781, 110812, 116414], 2192: [1, 12915, 22100, 32496, 72554, 108013, 113771, 134452, 136513]}
+    rows = [(k, c, p) for c in prices for k, p in zip(keys[c], prices[c], strict=True)]
+    agrees("resampled_paths", orders=pd.DataFrame(rows, columns=["o_orderkey", "o_custkey", "o_totalprice"]))
