@@ -69,3 +69,11 @@ def test_resampled_paths_between_half_turns(agrees):
     keys = {481: [7644, 48048, 67111, 81638, 106455, 108561, 143413], 1331: [85083, 85649, 100563, 100781, 110812, 116414], 2192: [1, 12915, 22100, 32496, 72554, 108013, 113771, 134452, 136513]}
     rows = [(k, c, p) for c in prices for k, p in zip(keys[c], prices[c], strict=True)]
     agrees("resampled_paths", orders=pd.DataFrame(rows, columns=["o_orderkey", "o_custkey", "o_totalprice"]))
+
+
+def test_metric_grades_of_a_mean_on_its_limit(spark, tmp_path):
+    values = [36.56, 85.83, 5.02, 64.7, 94.34, 1.55]  # their mean is 48, and as doubles 48.00000000000001 in this order
+    rows = events([(7, v) for v in values] + [(8, v) for v in sorted(values)] + [(9, 1e12), (9, 5.0), (10, 49.0), (11, None)])
+    rows.assign(event_type="click").to_parquet(tmp_path / "events.parquet", index=False, coerce_timestamps="us")
+    got = {r["user_id"]: r["grade"] for r in registry.queries()["metric_grades"](spark, str(tmp_path)).collect()}
+    assert got == {7: "PASS", 8: "PASS", 9: "FAIL", 10: "WARN", 11: "NONE"}

@@ -58,6 +58,13 @@ def gates(cheap_first: list[tuple[str, Column]]) -> Column:
     return out
 
 
+def steady_mean(value: str) -> Column:
+    """The mean of a group, the same in any order of its rows: values are added as decimals, so a mean on a limit is on it
+    and not next to it, as sums of doubles may have it. Groups with values of 10^9 or more, or NaN, are added as doubles."""
+    fine = F.abs(F.col(value)) < 1e9
+    return F.when(F.max(F.abs(F.col(value))) < 1e9, F.avg(F.when(fine, F.col(value)).cast("decimal(38,18)")).cast("double")).otherwise(F.avg(value))
+
+
 def graded(values: DataFrame, limits: DataFrame, metric: str, value: str) -> DataFrame:
     """values with grade by a table (metric, warn, fail) of upper limits: PASS, WARN above warn, FAIL above fail; NONE
     without a value or a limit. The table has a row a metric, so Spark broadcasts it when it is small."""

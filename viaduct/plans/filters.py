@@ -95,7 +95,7 @@ SELECT metric, user_id, CASE WHEN value IS NULL OR fail IS NULL THEN 'NONE' WHEN
 """)
 def metric_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = spark.createDataFrame([("click", 48.0, 60.0), ("error", 40.0, 52.0), ("view", 50.0, 51.0)], "metric string, warn double, fail double")
-    values = load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric"), "user_id").agg(F.avg("value").alias("value"))
+    values = load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric"), "user_id").agg(P.steady_mean("value").alias("value"))
     return P.graded(values, limits, "metric", "value").select("metric", "user_id", "grade")
 
 
