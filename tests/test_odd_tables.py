@@ -6,8 +6,10 @@ import math
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from viaduct.functions import measures
+from viaduct.operators import metrics
 from viaduct.plans import registry
 
 
@@ -85,3 +87,11 @@ def test_box_clearances_of_many_equal_boxes(agrees, monkeypatch):
     rows = events([(u, v) for u in range(12) for v in (0.0, 2.0, 3.5, 21.25, 49.0, 560.21, 2.0)])
     keys = [k + 1800 * i for k in (0, 2, 20, 90, 130) for i in range(5)]  # a box of a key modulo 1800
     agrees("box_clearances", events=rows, supplier=pd.DataFrame({"s_suppkey": keys, "s_nationkey": [k % 7 for k in range(len(keys))]}).astype({"s_nationkey": "int32"}))
+
+
+def test_pairs_of_tiles_are_not_written(spark):
+    rows = spark.range(40).select(F.lit(0).alias("g"), F.col("id").alias("pos"), "id", F.array(F.col("id").cast("double")).alias("v"))
+    packed = metrics.tiles(rows, "g", "id", "v")
+    plan = metrics.met(packed, packed, "g", lambda g, x, y, a, b: pd.DataFrame({"n": [1]}), "n int")._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("Join")]  # what comes after the join stands before it
+    assert "Exchange" not in after and "MapInPandas" in after
