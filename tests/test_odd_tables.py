@@ -104,3 +104,9 @@ def test_pairs_of_tiles_are_not_written(spark):
     plan = metrics.met(packed, packed, "g", lambda g, x, y, a, b: pd.DataFrame({"n": [1]}), "n int")._jdf.queryExecution().executedPlan().toString()
     after = plan[: plan.index("Join")]  # what comes after the join stands before it
     assert "Exchange" not in after and "MapInPandas" in after
+
+
+def test_recovered_knobs_meet_no_other_rows(agrees, spark, tmp_path):
+    agrees("recovered_knobs", part=pd.DataFrame({"p_partkey": range(300), "p_retailprice": [900 + k * 3.37 for k in range(300)]}))
+    plan = registry.queries()["recovered_knobs"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the answers meet the keys, and trials nothing

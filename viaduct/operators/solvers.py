@@ -52,16 +52,20 @@ def largest_knob(variants: DataFrame, key: str, low: str, high: str, probe: Prob
     return ends.unionByName(state).select(key, knob.alias("knob"), "status", "binding")
 
 
-def recovered_knob(variants: DataFrame, key: str, rounded: str, error: Probe, tolerance: float, digits: int = 5, steps: int = 50) -> DataFrame:
+def recovered_knob(variants: DataFrame, key: str, rounded: str, error: Probe | Column, tolerance: float, digits: int = 5, steps: int = 50) -> DataFrame:
     """key, knob, error: the true knob behind a value rounded to so many digits, null where none fits.
 
     error takes rows (key, trial, knob) and gives rows (key, trial, error), how far what the knob rebuilds is from what is
-    known. Trials spread evenly from the rounded value to both ends of its rounding interval (steps a side, the lower one
+    known; where the variants' own columns tell it, it is a column over them and knob, and trials meet no other rows. Trials spread evenly from the rounded value to both ends of its rounding interval (steps a side, the lower one
     first); the nearest within the tolerance is the answer."""
     half = 0.5 * 10.0**-digits
     side = F.when(F.col("trial") % 2 == 1, -1.0).otherwise(1.0)
-    trials = variants.select(key, F.col(rounded).cast("double").alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(2 * steps))).alias("trial"))
-    trials = trials.select(key, "trial", (F.col("_k") + side * (half * F.ceil(F.col("trial") / 2) / steps)).alias("knob"))
-    fits = error(trials).where(F.col("error") <= tolerance).select(key, "trial", "error").join(trials, [key, "trial"])
+    own = variants.columns if isinstance(error, Column) else [key]
+    trials = variants.select(*own, F.col(rounded).cast("double").alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(2 * steps))).alias("trial"))
+    trials = trials.select(*own, "trial", (F.col("_k") + side * (half * F.ceil(F.col("trial") / 2) / steps)).alias("knob"))
+    if isinstance(error, Column):
+        fits = trials.select(key, "trial", "knob", error.alias("error")).where(F.col("error") <= tolerance)
+    else:
+        fits = error(trials).where(F.col("error") <= tolerance).select(key, "trial", "error").join(trials, [key, "trial"])
     best = fits.groupBy(key).agg(F.min(F.struct("trial", "knob", "error")).alias("_b")).select(key, "_b.knob", "_b.error")
     return variants.select(key).join(best, key, "left")

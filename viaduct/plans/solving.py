@@ -48,11 +48,7 @@ def recovered_knobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Knobs rounded to five digits, recovered so that they rebuild the same step."""
     truth = F.col("p_retailprice") / 7777
     variants = load(spark, sf_dir, "part").select("p_partkey", F.round(truth, 5).alias("k"), F.floor(truth * 400000).alias("step"))
-
-    def error(trials: DataFrame) -> DataFrame:
-        met = trials.join(variants.select("p_partkey", "step"), "p_partkey")
-        return met.select("p_partkey", "trial", F.abs(F.floor(F.col("knob") * 400000) - F.col("step")).cast("double").alias("error"))
-
+    error = F.abs(F.floor(F.col("knob") * 400000) - F.col("step")).cast("double")
     return S.recovered_knob(variants, "p_partkey", "k", error, 0.0, steps=20)
 
 
