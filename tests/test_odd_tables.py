@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viaduct.functions import measures
-from viaduct.operators import metrics
+from viaduct.operators import choices, metrics
 from viaduct.plans import registry
 
 
@@ -110,3 +110,14 @@ def test_recovered_knobs_meet_no_other_rows(agrees, spark, tmp_path):
     agrees("recovered_knobs", part=pd.DataFrame({"p_partkey": range(300), "p_retailprice": [900 + k * 3.37 for k in range(300)]}))
     plan = registry.queries()["recovered_knobs"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # the answers meet the keys, and trials nothing
+
+
+@pytest.mark.parametrize("spare", [6, 0.4])
+def test_expanded_cameras_of_few_far_ones(agrees, monkeypatch, spare):
+    """At a spare of 0.4 nearly all cameras come again."""
+    monkeypatch.setattr(choices, "SPARE", spare)
+    cameras = pd.DataFrame({"s_suppkey": range(12), "s_nationkey": [k % 3 for k in range(12)], "s_acctbal": [-900.0, 9900.0, 4500.0, None, 0.0, 5000.0] * 2})
+    near = [(k, k % 4, (k * 331 % 11000) - 999.0) for k in range(700)] + [(800, 0, None), (801, 2, 9999.0)]
+    candidates = pd.DataFrame(near, columns=["c_custkey", "c_nationkey", "c_acctbal"])
+    got = agrees("expanded_cameras", supplier=cameras.astype({"s_nationkey": "int32"}), customer=candidates.astype({"c_nationkey": "int32"}))
+    assert {r["tier"] for r in got} == {"far", "near"} and len(got) == 12 * 8

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaduct.functions.measures import turn_gap
+from viaduct.operators.dedup import checkpointed
 
 
 def draw(seed: str, *key: Column | str) -> Column:
@@ -135,12 +136,43 @@ def separated(radius_a: Column, azimuth_a: Column, radius_b: Column, azimuth_b:
     return ~radius_a.eqNullSafe(radius_b) | (turn_gap(azimuth_a, azimuth_b) >= least)
 
 
+#: Draws that a camera's first round lets through on average, as a multiple of the count asked for, and the parts that the
+#: cameras of a scene fall into.
+SPARE, PARTS = 6, 8
+
+
 def expanded(cameras: DataFrame, candidates: DataFrame, scene: str, camera: str, candidate: str, at: str, far: float, count: int, seed: str) -> DataFrame:
-    """count candidates for every camera of their scene (bounded sets), far ones (tier far) before near ones, by draw."""
-    met = cameras.select(scene, camera, F.col(at).alias("_at")).join(candidates.select(scene, candidate, F.col(at).alias("_to")), scene)
-    tier = F.when(F.abs(F.col("_to") - F.col("_at")) >= far, "far").otherwise("near")
-    rank = F.row_number().over(Window.partitionBy(scene, camera).orderBy(F.col("tier"), draw(seed, camera, candidate), F.col(candidate)))
-    return met.withColumn("tier", tier).withColumn("rank", rank).where(F.col("rank") <= count).select(scene, camera, candidate, "tier", "rank")
+    """count candidates for every camera of their scene, far ones (tier far) before near ones, by draw.
+
+    A first pass counts a camera's far and near candidates. Draws are spread evenly, so of a tier that is needed the second
+    pass keeps those below a limit that lets through SPARE times the count on average (all of a tier of fewer), and sorts
+    only them: the least draws are the same as those of all where the count is reached. Cameras that were let through too
+    few come again and rank all their candidates. Every candidate of a scene meets every camera, and none is drawn in vain
+    that a full far tier shuts out."""
+    split = cameras.select(scene, camera, F.col(at).alias("_at"), F.pmod(F.xxhash64(camera), F.lit(PARTS)).cast("int").alias("_part"))
+    parts = candidates.select(scene, candidate, F.col(at).alias("_to"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    is_far = F.coalesce(F.abs(F.col("_to") - F.col("_at")) >= far, F.lit(False))
+    meet = lambda asked: asked.hint("shuffle_hash").join(parts, [scene, "_part"])
+    counted = meet(split).groupBy(scene, "_part", camera).agg(F.count_if(is_far).alias("_far"), F.count_if(~is_far).alias("_near"))
+    # the first eight of a draw's digits, or g, which is above all of them
+    limit = lambda n: F.when(n <= SPARE * count, "g").otherwise(F.lower(F.lpad(F.hex(F.ceil(F.lit(2.0**32 * SPARE * count) / n)), 8, "0")))
+    counts = checkpointed(counted.withColumns({"_limit_far": limit(F.col("_far")), "_limit_near": F.when(F.col("_far") < count, limit(F.col("_near"))).otherwise("")}))
+
+    asked = split.join(counts, [scene, "_part", camera])
+
+    def ranked(met: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(scene, camera).orderBy("tier", "_draw", candidate))
+        return met.withColumn("rank", rank).where(F.col("rank") <= count).select(scene, camera, candidate, "tier", "rank")
+
+    drawn = meet(asked).withColumns({"tier": F.when(is_far, "far").otherwise("near"), "_limit": F.when(is_far, F.col("_limit_far")).otherwise(F.col("_limit_near"))})
+    drawn = drawn.where("_limit <> ''").select(scene, camera, candidate, "tier", "_limit", draw(seed, camera, candidate).alias("_draw"))
+    first = checkpointed(ranked(drawn.where("_draw < _limit")))
+    have = first.groupBy(scene, camera).agg(F.count("*").alias("_have"), F.count_if(F.col("tier") == "far").alias("_far_have"))
+    state = counts.join(have, [scene, camera], "left").withColumns({"_have": F.coalesce("_have", F.lit(0)), "_far_have": F.coalesce("_far_have", F.lit(0))})
+    short = (F.col("_have") < F.least(F.lit(count), F.col("_far") + F.col("_near"))) | (F.col("_far_have") < F.least(F.lit(count), F.col("_far")))
+    short = checkpointed(state.where(short).select(scene, "_part", camera))
+    again = meet(split.join(short, [scene, "_part", camera])).select(scene, camera, candidate, F.when(is_far, "far").otherwise("near").alias("tier"), draw(seed, camera, candidate).alias("_draw"))
+    return first.join(short.select(scene, camera), [scene, camera], "left_anti").select(scene, camera, candidate, "tier", "rank").unionByName(ranked(again))
 
 
 def budgeted(anchors_: DataFrame, scene: str, anchor: str, tier: str, cost: str, budget: float) -> DataFrame:
