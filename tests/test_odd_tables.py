@@ -121,3 +121,10 @@ def test_expanded_cameras_of_few_far_ones(agrees, monkeypatch, spare):
     candidates = pd.DataFrame(near, columns=["c_custkey", "c_nationkey", "c_acctbal"])
     got = agrees("expanded_cameras", supplier=cameras.astype({"s_nationkey": "int32"}), customer=candidates.astype({"c_nationkey": "int32"}))
     assert {r["tier"] for r in got} == {"far", "near"} and len(got) == 12 * 8
+
+
+def test_pair_attributes_come_with_the_pairs(agrees, spark, tmp_path):
+    rows = pd.DataFrame({"s_suppkey": [1, 2, 3, 3, 5, 6], "s_nationkey": pd.array([0, 0, 0, 0, None, 1], dtype="Int32"), "s_acctbal": [1.5, None, 3.0, 4.0, 5.0, 6.0]})
+    assert len(agrees("pair_attributes", supplier=rows)) == 10
+    plan = registry.queries()["pair_attributes"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1

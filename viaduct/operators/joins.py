@@ -29,9 +29,17 @@ def difference(left: DataFrame, right: DataFrame, on: list[str], value: str) ->
     return both.withColumn("change", change).drop("_l", "_r")
 
 
-def ordered_pairs(rows: DataFrame, group: str, member: str) -> DataFrame:
-    """All ordered pairs of different members of one group; for groups of bounded size, such as the clips of a scene."""
-    return rows.select(group, F.col(member).alias("target")).join(rows.select(group, F.col(member).alias("context")), group).where("target <> context")
+#: Parts that the targets of a group fall into, each of which meets the whole group.
+PARTS = 8
+
+
+def ordered_pairs(rows: DataFrame, group: str, member: str, *names: str) -> DataFrame:
+    """All ordered pairs of different members of one group, with the attributes names of either end (prefixed by target_ and
+    context_). A group's targets are spread over PARTS tasks, and pairs are not exchanged."""
+    end = lambda e: [F.col(member).alias(e), *[F.col(n).alias(f"{e}_{n}") for n in names]]
+    targets = rows.select(group, F.pmod(F.xxhash64(member), F.lit(PARTS)).cast("int").alias("_part"), *end("target"))
+    contexts = rows.select(group, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"), *end("context"))
+    return targets.hint("shuffle_hash").join(contexts, [group, "_part"]).where("target <> context").drop("_part")
 
 
 def exists_within(left: DataFrame, right: DataFrame, group: str, at: str, reach: float, bucket: Column | None = None) -> DataFrame:
