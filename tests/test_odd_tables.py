@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viaduct.functions import measures
-from viaduct.operators import choices, metrics
+from viaduct.operators import choices, metrics, proximity
 from viaduct.plans import registry
 
 
@@ -128,3 +128,15 @@ def test_pair_attributes_come_with_the_pairs(agrees, spark, tmp_path):
     assert len(agrees("pair_attributes", supplier=rows)) == 10
     plan = registry.queries()["pair_attributes"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+@pytest.mark.parametrize("points", [2048, 5])
+def test_nearest_points_of_shared_queries(agrees, monkeypatch, points):
+    monkeypatch.setattr(proximity, "POINTS", points)
+    monkeypatch.setattr(proximity, "QUERIES", 4)
+    cloud = [(o, o % 4, 1 + o % 2, o * 7 % 50, 900.0 + o * 1009 % 90000, o % 11 / 100) for o in range(60)] + [(60 + i, 0, 1, 5, 2000.0, 0.01) for i in range(6)]
+    lines = pd.DataFrame(cloud, columns=["l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]).astype({"l_quantity": float, "l_linenumber": "int32"})
+    lone = pd.DataFrame({"l_orderkey": [99], "l_suppkey": [5], "l_linenumber": [1], "l_quantity": [3.0], "l_extendedprice": [9.0], "l_discount": [0.0]}).astype({"l_linenumber": "int32"})
+    suppliers = pd.DataFrame({"s_suppkey": [0, 1, 2, 3, 4, 5], "s_nationkey": [0, 0, 1, 2, 0, 1]}).astype({"s_nationkey": "int32"})
+    customers = pd.DataFrame({"c_custkey": range(30), "c_nationkey": [c % 2 for c in range(30)], "c_acctbal": [c * 37.5 for c in range(30)]}).astype({"c_nationkey": "int32"})
+    agrees("nearest_points", lineitem=pd.concat([lines, lone]), supplier=suppliers, customer=customers)
